@@ -14,6 +14,20 @@ from .common import bounded_batches, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import UrlRule, filter_urls
+
+    rules = (
+        UrlRule("block", "com/en/"),
+        UrlRule("allow", "example.com/en/7"),
+        UrlRule("allow", "net/de/"),
+        UrlRule("block", "example.net/de/8"),
+        UrlRule("block", "org/es/"),
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge_documents
 
@@ -79,6 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_best_fit_packing": op5_best_fit_packing,
