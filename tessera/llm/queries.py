@@ -28,6 +28,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict", "url_score")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    bounded_batches(spark)
+    out = extract_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge_documents
 
@@ -94,6 +102,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
+    "op2_html_extract": op2_html_extract,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_best_fit_packing": op5_best_fit_packing,
