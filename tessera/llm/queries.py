@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,46 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of the archive of all pages in which every record whose
+    id leaves 13 modulo 97 has another first byte."""
+    from .warc import audit, layout
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damaged = (F.col("page_id") % 97 == 13) & (F.octet_length(F.substring("html", 1, 1)) == 1) & (F.substring("html", 1, 1) != "#")
+    replica = pages.withColumn("html", F.when(damaged, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    found = audit(materialise(layout(pages), "layout"), materialise(layout(replica), "layout"))
+    return found.select("file", "place", "start", "stop", F.col("record_id").alias("page_id"), "copy", "sha256", "status")
+
+
+OP8_SQL = r"""
+WITH body AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         coalesce(page_id % 97 = 13 AND strlen(substr(html, 1, 1)) = 1 AND substr(html, 1, 1) <> '#', false) AS damaged
+  FROM pages
+), record AS (
+  SELECT page_id, damaged, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10)
+    || html || chr(13) || chr(10) || chr(13) || chr(10) AS r
+  FROM body
+), hashed AS (
+  SELECT page_id, damaged, strlen(r) AS size, sha256(r) AS sha256,
+         row_number() OVER (PARTITION BY page_id, sha256(r)) - 1 AS copy
+  FROM record
+), dealt AS (
+  SELECT *, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '') || '/' || copy::VARCHAR), 1, 8))::BIGINT
+            % greatest(1, (SELECT (count(*) + 999) // 1000 FROM pages)) AS file
+  FROM hashed
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, CAST(sum(size) OVER w AS BIGINT) AS stop
+  FROM dealt WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256, copy ROWS UNBOUNDED PRECEDING)
+)
+SELECT file, place, stop - size AS start, stop, page_id, copy, sha256, CASE WHEN damaged THEN 'changed' ELSE 'intact' END AS status
+FROM placed
+"""
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
@@ -115,10 +155,12 @@ QUERIES: dict[str, Query] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
+    "op8_warc_fixity": op8_warc_fixity,
     "op9_ann": op9_ann,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
+    "op8_warc_fixity": OP8_SQL,
 }
