@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import vectors
+
+QUERIES = {**vectors.QUERIES}
+ORACLE_SQL = {**vectors.ORACLE_SQL}
