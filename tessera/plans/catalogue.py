@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import vectors
+from . import grids, vectors
 
-QUERIES = {**vectors.QUERIES}
-ORACLE_SQL = {**vectors.ORACLE_SQL}
+QUERIES = {**vectors.QUERIES, **grids.QUERIES}
+ORACLE_SQL = {**vectors.ORACLE_SQL, **grids.ORACLE_SQL}

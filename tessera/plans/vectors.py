@@ -128,10 +128,10 @@ def vec_revert(spark, d):
 
 
 @query(f"""WITH {VEC}, n AS (SELECT count(*) AS n FROM vec), j AS (SELECT i AS j, i * (n - 1) / 999.0 AS t0 FROM range(1000) t(i), n)
-SELECT j AS pos, round(a.v + (t0 - floor(t0)) * (coalesce(b.v, a.v) - a.v), 4) AS v FROM j JOIN vec a ON a.pos = floor(t0)::BIGINT LEFT JOIN vec b ON b.pos = floor(t0)::BIGINT + 1""")
+SELECT j AS pos, round(a.v + (t0 - floor(t0)) * (coalesce(b.v, a.v) - a.v), 2) AS v FROM j JOIN vec a ON a.pos = floor(t0)::BIGINT LEFT JOIN vec b ON b.pos = floor(t0)::BIGINT + 1""")
 def vec_resample_linear(spark, d):
     x = vector(spark, d).select("pos", "v")
-    return v.resample_linear(x, x.count(), 1000).select("pos", r("v").alias("v"))
+    return v.resample_linear(x, x.count(), 1000).select("pos", r("v", 2).alias("v"))
 
 
 @query(f"WITH {VEC}, f AS (SELECT floor(v / 1000)::BIGINT AS k, pos FROM vec) SELECT k, count(*) AS n, min(pos) AS first_at FROM f GROUP BY k HAVING count(*) >= 2")
