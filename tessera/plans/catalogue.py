@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import grids, vectors
+from . import grids, learning, vectors
 
-QUERIES = {**vectors.QUERIES, **grids.QUERIES}
-ORACLE_SQL = {**vectors.ORACLE_SQL, **grids.ORACLE_SQL}
+QUERIES = {**vectors.QUERIES, **grids.QUERIES, **learning.QUERIES}
+ORACLE_SQL = {**vectors.ORACLE_SQL, **grids.ORACLE_SQL, **learning.ORACLE_SQL}
+FLAGSHIP = learning.quality_metrics
