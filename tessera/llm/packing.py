@@ -133,12 +133,14 @@ class Lengths:
         best, lo, hi = 0, 0, len(self.order) - 1
         while lo <= hi:
             a, b = self.order[lo], self.order[hi]
-            if a + b > room:
+            if not self.other(a, used):
+                lo += 1
+            elif a + b > room or not self.other(b, used):
                 hi -= 1
-                continue
-            if self.other(a, used) >= 1 + (a == b) and self.other(b, used) >= 1:
-                best = max(best, a + b)
-            lo += 1
+            else:
+                if self.other(a, used) >= 1 + (a == b):
+                    best = max(best, a + b)
+                lo += 1
         return best
 
 

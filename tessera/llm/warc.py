@@ -139,7 +139,8 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     texts = rows.groupBy("record_id", "sha256").agg(F.min("value").alias("value"))
     on = texts["record_id"].eqNullSafe(places["record_id"]) & (texts["sha256"] == places["sha256"])
     out = places.join(texts, on).select("file", "start", "value").repartition("file").sortWithinPartitions("file", "start")
-    out.select("file", "value").write.partitionBy("file").option("lineSep", "").text(path)
+    # a record ends in two line breaks, the last of which the writer adds
+    out.select("file", F.expr("substring(value, 1, char_length(value) - 2)").alias("value")).write.partitionBy("file").option("lineSep", CRLF).text(path)
 
 
 def parsed(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
