@@ -89,7 +89,7 @@ def differing_leaves(one: DataFrame, other: DataFrame) -> DataFrame:
         for t, name in ((one, "a"), (other, "b")):
             rows = t.where(F.col("level") == level).select("file", "place", F.col("hash").alias(name))
             if bad is not None:
-                rows = rows.join(bad, (rows["file"] == bad["f"]) & (F.floor(rows["place"] / FAN) == bad["p"]), "left_semi")
+                rows = rows.join(bad, (F.col("file") == F.col("f")) & (F.floor(F.col("place") / FAN) == F.col("p")), "left_semi")
             sides.append(rows)
         both = sides[0].join(sides[1], ["file", "place"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
         bad = materialise(both.select(F.col("file").alias("f"), F.col("place").alias("p")), "differing")
@@ -105,18 +105,18 @@ def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
     bad = differing_leaves(one, other)
     mine = records.join(bad.withColumn("suspect", F.lit(True)), ["file", "place"], "left")
     theirs = replica.join(bad, ["file", "place"], "left_semi")
-    theirs = theirs.select("file", "copy", F.col("record_id").alias("r_id"), F.col("sha256").alias("r_sha"), F.col("place").alias("r_place"), F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
+    theirs = theirs.select(*[F.col(c).alias("r_" + c) for c in ("file", "copy", "record_id", "sha256", "place", "start", "stop")])
     suspects = mine.where("suspect").drop("suspect")
-    same = (suspects["file"] == theirs["file"]) & suspects["record_id"].eqNullSafe(theirs["r_id"]) & (suspects["copy"] == theirs["copy"])
+    same = (F.col("file") == F.col("r_file")) & F.col("record_id").eqNullSafe(F.col("r_record_id")) & (F.col("copy") == F.col("r_copy"))
     found = suspects.join(theirs, same, "full_outer").select(
-        F.coalesce(suspects["file"], theirs["file"]).alias("file"),
+        F.coalesce("file", "r_file").alias("file"),
         F.coalesce("place", "r_place").alias("place"),
         F.coalesce("start", "r_start").alias("start"),
         F.coalesce("stop", "r_stop").alias("stop"),
-        F.coalesce("record_id", "r_id").alias("record_id"),
-        F.coalesce(suspects["copy"], theirs["copy"]).alias("copy"),
-        F.coalesce("sha256", "r_sha").alias("sha256"),
-        F.when(F.col("place").isNull(), "extra").when(F.col("r_place").isNull(), "missing").when(F.col("sha256") != F.col("r_sha"), "changed").otherwise("moved").alias("status"),
+        F.coalesce("record_id", "r_record_id").alias("record_id"),
+        F.coalesce("copy", "r_copy").alias("copy"),
+        F.coalesce("sha256", "r_sha256").alias("sha256"),
+        F.when(F.col("place").isNull(), "extra").when(F.col("r_place").isNull(), "missing").when(F.col("sha256") != F.col("r_sha256"), "changed").otherwise("moved").alias("status"),
     )
     intact = mine.where("suspect IS NULL").drop("suspect").withColumn("status", F.lit("intact"))
     return intact.unionByName(found)
