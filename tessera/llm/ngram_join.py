@@ -8,14 +8,16 @@ n - ceil(t n) + 1. The order comes from a count sketch over all documents; any
 order gives the same result, a better one fewer candidates.
 
 Candidates share a prefix shingle and pass the length filter and the positional
-filter (what can still follow both places must reach the needed overlap). The
-suffix filter bounds the overlap by the sizes of the two sets' parts in fixed
+filter: what both can share up to that shingle (no more than either has of
+shingles that several sets hold) and what the shorter rest can add must reach
+the needed overlap. The suffix filter bounds the overlap by the sizes of the two sets' parts in fixed
 ranges of the hash; what passes is verified exactly, once per pair.
 
-Only links that join different components matter. So each round takes, for
-every prefix shingle that occurs in two or more components, one of its sets as
-the pivot and pairs the others with it: as many pairs as postings, not their
-square. After ``star_rounds`` of them the last round takes all pairs left that
+Only links that join different components matter, and most groups of near copies
+have a text that the others were made from. In a first round, every prefix
+shingle takes as its pivot the set in which it comes earliest (an original has
+few shingles of its own before it) and pairs the others with that: as many
+pairs as postings, not their square. The second round takes all pairs left that
 share a prefix shingle and stand in different components, which makes the
 components exact.
 
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -241,16 +243,35 @@ def needed_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def with_shared_rank(postings: DataFrame) -> DataFrame:
+    """postings with r, how many of a set's postings come up to this one. Only
+    shingles that stand in postings of several sets (or, later, components) are
+    among them, so r bounds what two sets can share up to a place."""
+    return postings.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.col("np").bitwiseAND(0xFFFFFFFF))))
+
+
 def may_link(percent: int) -> Column:
     """Length and positional filters on postings x and y of one shingle."""
     n, m = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
     i, j = F.col("x.np").bitwiseAND(0xFFFFFFFF), F.col("y.np").bitwiseAND(0xFFFFFFFF)
     lengths = F.lit(percent) * F.greatest(n, m) <= F.lit(100) * F.least(n, m)
-    # the shared shingle, at most what both have before it, and what both have after it
-    bound = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    # what they can share up to this shingle, and all that the shorter rest can add
+    bound = F.least("x.r", "y.r") + F.least(n - i - 1, m - j - 1)
     return lengths & (bound >= needed_overlap(n, m, percent))
 
 
+def paired(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of joined postings x and y that may link.
+
+    A pair comes with every shingle that it shares; their number and the last
+    place on either side bound the overlap once more."""
+    swap = F.col("x.s") > F.col("y.s")
+    side = lambda c: (F.when(swap, F.col("y." + c)).otherwise(F.col("x." + c)), F.when(swap, F.col("x." + c)).otherwise(F.col("y." + c)))
+    (a, b), (i, j) = side("s"), side("np")
+    rows = rows.where(may_link(percent)).select(a.alias("a"), b.alias("b"), i.alias("i"), j.alias("j"))
+    return rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int, parts: int = 64) -> bool:
     """Whether two sorted sets reach the similarity: suffix filter, then exactly."""
     n, m = len(a), len(b)
@@ -334,35 +355,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
-def class_components(docs: DataFrame, profiles: DataFrame, text: str, width: int, percent: int, sketch, star_rounds: int) -> DataFrame | None:
+def class_components(docs: DataFrame, profiles: DataFrame, text: str, width: int, percent: int, sketch) -> DataFrame | None:
     """(s, comp) of the sets that link with another; None if there is none."""
     postings = prefixes(docs, text, sketch, width, percent)
     often = postings.select("token").groupBy("token").count().where("count > 1").select("token")
     shared = postings.join(often, "token", "left_semi").dropDuplicates(["token", "s"])
-    shared = materialise(shared.withColumn("comp", F.col("s")), "postings")
+    shared = materialise(with_shared_rank(shared.withColumn("comp", F.col("s"))), "postings")
     found: DataFrame | None = None
-    tried: DataFrame | None = None
     sets: DataFrame | None = None
-    for k in range(star_rounds + 1):
-        bounds = shared.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("s", "np", "comp"), F.xxhash64(F.lit(k), "s")).alias("pivot"))
+    for last in (False, True):
+        first = F.struct(F.col("np").bitwiseAND(0xFFFFFFFF).alias("at"), "s")
+        bounds = shared.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("s", "np", "r", "comp"), first).alias("pivot"))
         bounds = bounds.where("lo <> hi")
-        if k < star_rounds:
-            pivots = bounds.select("token", "pivot.*")
-            pairs = pivots.alias("x").join(shared.alias("y"), "token")
+        if not last:
+            pairs = paired(bounds.select("token", "pivot.*").alias("x").join(shared.alias("y"), "token").where("x.comp <> y.comp"), percent)
         else:
-            live = materialise(shared.join(bounds.select("token"), "token", "left_semi"), "live")
-            pairs = live.alias("x").join(live.alias("y"), "token").where("x.s < y.s")
-        pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & may_link(percent))
-        pairs = pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+            live = shared.drop("r").join(bounds.select("token"), "token", "left_semi")
+            live = materialise(with_shared_rank(live), "live")
+            pairs = paired(live.alias("x").join(live.alias("y"), "token").where("x.s < y.s AND x.comp <> y.comp"), percent)
+            n, m = F.shiftright("i", 32), F.shiftright("j", 32)
+            rest = F.least(n - F.col("i").bitwiseAND(0xFFFFFFFF), m - F.col("j").bitwiseAND(0xFFFFFFFF)) - 1
+            pairs = pairs.where(F.col("c") + rest >= needed_overlap(n, m, percent)).join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs.select("a", "b"), "pairs")
+        tried = pairs
         if pairs.isEmpty():
-            if k < star_rounds:
-                continue
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+            continue
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
         if sets is not None:
             ends = ends.join(sets.select("s"), "s", "left_anti")
         fresh = materialise(needed_sets(docs, profiles, ends, text, width), "sets")
@@ -372,19 +390,19 @@ def class_components(docs: DataFrame, profiles: DataFrame, text: str, width: int
             continue
         found = good if found is None else found.unionByName(good)
         labels = components(found)
-        if k < star_rounds:
+        if not last:
             shared = shared.drop("comp").join(labels.select(F.col("node").alias("s"), "comp"), "s", "left")
-            shared = materialise(shared.select("token", "s", "np", F.coalesce("comp", "s").alias("comp")), "postings")
+            shared = materialise(shared.select("token", "s", "np", "r", F.coalesce("comp", "s").alias("comp")), "postings")
     return None if found is None else labels.select(F.col("node").alias("s"), "comp")
 
 
-def _joined(docs: DataFrame, key: str, text: str, width: int, percent: int, star_rounds: int) -> tuple[DataFrame, DataFrame]:
+def _joined(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Profiles (k, h, g, s, n) and (s, group, comp_id), comp_id the smallest key of the group."""
     spark = docs.sparkSession
     rows = materialise(profile(docs, key, text, width), "profile")
     profiles = rows.where("chunk IS NULL").drop("chunk", "part")
     sketch = spark.sparkContext.broadcast(merged_sketch(rows))
-    labels = class_components(docs, profiles, text, width, percent, sketch, star_rounds)
+    labels = class_components(docs, profiles, text, width, percent, sketch)
     classes = profiles.where("n > 0").groupBy("s").agg(F.min("k").alias("k"))
     if labels is None:
         named = classes.select("s", F.col("s").alias("group"), F.col("k").alias("comp_id"))
@@ -394,18 +412,18 @@ def _joined(docs: DataFrame, key: str, text: str, width: int, percent: int, star
     return profiles, materialise(named, "components")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id of every row of docs."""
-    profiles, named = _joined(docs, key, text, width, percent, star_rounds)
+    profiles, named = _joined(docs, key, text, width, percent)
     rows = profiles.join(named.drop("group"), "s", "left")
     own = F.when(F.col("n") == 0, F.col("k")).otherwise(F.col("comp_id"))
     return rows.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group: the smallest key, then the smallest hash
     of the text (equal rows: any one). Texts without words all stay."""
-    profiles, named = _joined(docs, key, text, width, percent, star_rounds)
+    profiles, named = _joined(docs, key, text, width, percent)
     member = profiles.where("n > 0").select("k", "h", "g", "s").join(named.select("s", "group"), "s")
     order = F.struct(F.col("k").isNull().alias("z"), "k", "h", "g")
     kept = member.groupBy("group").agg(F.min(order).alias("m")).select("m.k", "m.h", "m.g")
