@@ -1,0 +1,524 @@
+"""The operators against brute force on small tables with nulls, empty and long
+texts, ties, repeated rows, no rows, and columns whose names clash."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tessera.llm import ann, bpe, html_extract, line_dedup, ngram_join, packing, quality, toxicity, url_filter, warc
+
+DOCS = "doc_id long, text string, h string, s string, v string, token string"
+SPACE = r"[^\x20\x09-\x0D]+"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def docs_of(spark, texts):
+    rows = texts if texts and isinstance(texts[0], tuple) else list(enumerate(texts))
+    return spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in rows], DOCS).repartition(3)
+
+
+def words(rng, n, of=300):
+    return [f"w{rng.randrange(of)}" for _ in range(n)]
+
+
+# ---- op1 ----
+
+RULES = tuple(url_filter.UrlRule(*r) for r in [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")])
+
+
+def expected_rule(url):
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = host.translate(LOWER)
+    fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return host, path, max(fits, key=lambda r: len(r.rule)).rule if fits else None
+
+
+def test_url_rules_and_model(spark):
+    good = [f"https://site{i}.example.org/en/{i}?a=b" for i in range(40)]
+    bad = [f"http://www.casino-win{i}.example.org/en/{i}" for i in range(20)]
+    odd = [None, "", "nothing", "://", "HTTP://A.Example.COM/en/71#x", "x://notexample.com/en/7", "x://com/en/", "x://com", "x://b.net/de/8", "x://example.net/de/88", "x://a.org/es/\n2", "https://casino.example.org/" + "q" * 20_000]
+    urls = good + bad + odd + good[:1]
+    df = spark.createDataFrame([(i, u, "x", 1.0) for i, u in enumerate(urls)], "page_id long, url string, y string, score double")
+    out = url_filter.filter_urls(df, RULES)
+    got = {r["page_id"]: r for r in out.collect()}
+    assert len(got) == len(urls) and {"y", "score"} <= set(out.columns)
+    for i, u in enumerate(urls):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == expected_rule(u), u
+    assert all(got[i]["verdict"] == "allow" for i in range(40)) and all(got[40 + i]["verdict"] == "block" for i in range(20))
+    assert got[60]["verdict"] == got[61]["verdict"] == "allow"
+    none = url_filter.filter_urls(df.where("false"), RULES)
+    assert none.count() == 0
+
+
+def test_url_scores_against_plain_counting():
+    urls, rejected = ["http://ab.c/", "http://ab.d/x", ""], ["http://zz.z/"]
+    tables = np.zeros((2, url_filter.ORDER, 2, url_filter.CELLS), np.int64)
+    plain = collections.Counter()
+    for y, own in enumerate((urls, rejected)):
+        for k in range(url_filter.ORDER):
+            tables[y, k, 0] += np.bincount(url_filter.grams(own, k + 1)[0], minlength=url_filter.CELLS)
+            tables[y, k, 1] += np.bincount(url_filter.contexts(own, k), minlength=url_filter.CELLS)
+            for u in own:
+                marked = "\x02" * (url_filter.ORDER - 1) + u + "\x03"
+                for e in range(url_filter.ORDER - 1, len(marked)):
+                    plain[y, marked[e - k : e + 1]] += 1
+                    plain[y, "ctx", marked[e - k : e]] += 1
+
+    def score(u):
+        total, marked = 0.0, "\x02" * (url_filter.ORDER - 1) + u + "\x03"
+        for e in range(url_filter.ORDER - 1, len(marked)):
+            p = [1 / 256, 1 / 256]
+            for k in range(url_filter.ORDER):
+                for y in (0, 1):
+                    p[y] = (plain[y, marked[e - k : e + 1]] + 4 * p[y]) / (plain[y, "ctx", marked[e - k : e]] + 4)
+            total += math.log(p[1]) - math.log(p[0])
+        return total / (len(u) + 1)
+
+    probe = ["http://ab.c/", "zz", "", "é"]
+    assert np.allclose(url_filter.scores(probe, tables), [score(u) for u in probe], atol=1e-3)
+
+
+# ---- op2 ----
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site name</p></header>
+<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">More</a></li></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div>
+<article><h1>A  title &amp; more</h1><p>First <b>para</b>graph<br>with a break, of some length, as text goes.<p>Second paragraph &lt;here&gt;, also of some length.
+<div class="ad">Buy now</div><ul><li>One item of the text.</li></ul></article>
+<aside class="sidebar"><p>Popular posts</p></aside><section id="comments"><h3>Comments</h3><article class="comment"><p>I think so too, and this is long enough to look like text.</p></article></section>
+<form><label>Name</label><input></form><footer>&copy; site</footer><script>var a = "</p>";</script></body></html>"""
+
+
+def test_main_text_of_a_page(spark):
+    want = "A title & more\n\nFirst paragraph with a break, of some length, as text goes.\n\nSecond paragraph <here>, also of some length.\n\nOne item of the text."
+    rows = [(0, PAGE), (1, None), (2, ""), (3, "<p>unclosed <div <<< &amp;"), (4, PAGE), (5, "<div>" * 3000 + "deep" + "</div>" * 10)]
+    df = spark.createDataFrame([(i, "u", h, "x") for i, h in rows], "page_id long, url string, html string, model string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}
+    assert got[0] == got[4] == want and got[1] == got[2] == "" and len(got) == 6
+    assert html_extract.extract_pages(df.where("false")).count() == 0
+
+
+def test_main_text_held_out():
+    model = html_extract.trained()
+    pages = html_extract.training_pages(150, seed=1234)
+    right = sum(t == "\n\n".join(b for _, b in html_extract.Page(s).blocks if "x" in b) for s, t in zip(pages, html_extract.main_texts(pages, model), strict=True))
+    assert right >= 0.93 * len(pages)
+
+
+def test_choice_is_consistent_and_best():
+    page = html_extract.Page("<div><p>a</p><div><p>b</p><p>c</p></div></div><div><p>d</p></div>")
+    rng = np.random.default_rng(0)
+    n = len(page.nodes)
+    for _ in range(30):
+        odds = rng.normal(size=n - 1)
+        keep = html_extract.chosen(page, odds)
+        ok = lambda k: all(not k[i] or k[page.nodes[i].parent] for i in range(1, n))
+        assert ok(keep)
+        best = max(sum(odds[i - 1] for i in range(1, n) if k[i]) for c in itertools.product([False, True], repeat=n - 1) if ok(k := [True, *c]))
+        assert np.isclose(sum(odds[i - 1] for i in range(1, n) if keep[i]), best)
+
+
+# ---- op3 ----
+
+
+def brute_quality(t):
+    t = t or ""
+    w = re.findall(SPACE, t)
+    grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    cover = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if re.search(SPACE, x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality_counts_and_verdicts(spark):
+    rng = random.Random(0)
+    clean = " ".join(words(rng, 200, 5000))
+    texts = [None, "", " \n\t", "a\u00a0b\x1cc d", clean, clean.upper(), " ".join(x + "!!" for x in clean.split()), " | ".join(clean.split()), "x y z " * 40, clean + "\nsame line\nsame line", "é " * 60, " ".join(words(rng, 30_000, 10**6)), clean]
+    got = {r["doc_id"]: r for r in quality.judge_documents(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        r, want = got[i], brute_quality(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, t
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+    assert [i for i in got if got[i]["kept"]] and all(got[i]["kept"] for i in (4, 9, 11, 12)) and not any(got[i]["kept"] for i in (0, 1, 5, 6, 7, 8))
+    kept = quality.filter_documents(docs_of(spark, texts))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i]["kept"]} and kept.columns == docs_of(spark, texts).columns
+    assert quality.judge_documents(docs_of(spark, texts).where("false")).count() == 0
+
+
+def test_the_order_of_rules_never_changes_a_verdict():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a", "B!", "#", "WORD", "longer"]) for _ in range(rng.randrange(80))) for _ in range(60)]
+    verdicts = set()
+    for order in itertools.permutations(quality.RULES):
+        verdicts.add(tuple(quality.Cascade(list(order)).rejected_by(quality.Facts(t)) is None for t in texts))
+    assert len(verdicts) == 1
+    planned = quality.Cascade.planned(quality.RULES, texts)
+    assert {r.name for r in planned.rules} == {r.name for r in quality.RULES}
+
+
+# ---- op4 ----
+
+
+def brute_components(texts):
+    sets = {}
+    for i, t in texts:
+        w = re.findall(SPACE, (t or "").translate(LOWER))
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= 80 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def near_texts(seed):
+    rng = random.Random(seed)
+    texts = [None, "", "  \n", "one two", "One TWO", "one two three four five", "İ i", "a b c d", "a b c d e f", "a\u00a0b c"]
+    shared = words(rng, 60, 10**6)
+    for family in range(8):
+        base = words(rng, rng.choice([12, 40, 150]), 10**6)
+        for _ in range(rng.choice([1, 4, 12])):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = f"edit{rng.random()}"
+            texts.append(" ".join(w))
+        chain = list(base)
+        for k in range(5):  # each like the one before it, the ends unlike each other
+            chain[(7 * k) % len(chain)] = f"step{family}-{k}"
+            texts.append(" ".join(chain).upper() if k % 2 else "\n".join(chain))
+    for k in range(12):
+        texts.append(" ".join(shared + words(rng, 5 + 3 * k, 10**6)))
+    texts += [" ".join(words(rng, 3000, 10**6))] * 2 + [texts[12]] * 5
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    return list(zip(order, texts, strict=True))
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_near_duplicates_against_all_pairs(spark, seed):
+    texts = near_texts(seed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs_of(spark, texts)).collect()}
+    want = brute_components(texts)
+    assert got == want
+    kept = ngram_join.one_of_each(docs_of(spark, texts))
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    assert ids == sorted({c for _, c in want.values()}) and kept.columns == docs_of(spark, texts).columns
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    same = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None)]
+    got = sorted(map(tuple, ngram_join.near_duplicates(docs_of(spark, same)).collect()), key=repr)
+    assert got == sorted([(None, 2, 3)] * 2 + [(3, 2, 3)] * 2 + [(None, 0, None)], key=repr)
+    assert sorted((r["doc_id"] or -1) for r in ngram_join.one_of_each(docs_of(spark, same)).collect()) == [-1, 3]
+    empty = docs_of(spark, same).where("false")
+    assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
+
+
+# ---- op5 ----
+
+
+def lower_bound(lengths, capacity):
+    """The bound of Martello and Toth: for each k, pieces too long to stand
+    beside others of k or more, and what the rest then lacks in room."""
+    best = 0
+    for k in range(capacity // 2 + 1):
+        big = sum(w > capacity - k for w in lengths)
+        middle = [w for w in lengths if capacity / 2 < w <= capacity - k]
+        small = sum(w for w in lengths if k <= w <= capacity / 2)
+        best = max(best, big + len(middle) + max(0, -(-(small - (capacity * len(middle) - sum(middle))) // capacity)))
+    return best
+
+
+def test_packing(spark):
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(2)
+    lib = Tokenizer.from_file(path)
+    texts = [None, "", "a", "a  b <|endoftext|> c", "x" * 3000, " ".join(words(rng, 9000)), "same"] + ["same"] * 40 + [" ".join(words(rng, rng.randrange(900))) for _ in range(60)]
+    rows = packing.pack_documents(docs_of(spark, texts), path).collect()
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+    for i, t in enumerate(texts):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for r in sorted(by_doc[i], key=lambda r: r["piece"]):
+            own = np.array(ids[at : at + r["length"]], "<u4").tobytes()
+            assert (r["start"], r["ids_crc32"]) == (at, zlib.crc32(own))
+            assert r["length"] == 2048 or r["piece"] == 0
+            at += r["length"]
+        assert at == len(ids)
+    for own in by_seq.values():
+        own.sort(key=lambda r: r["offset"])
+        ends = list(itertools.accumulate(r["length"] for r in own))
+        assert [r["offset"] for r in own] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(by_seq) <= lower_bound([r["length"] for r in rows], 2048) + 1
+    whole = packing.packed_sequences(packing.pack_documents(docs_of(spark, texts[:6]), path, with_ids=True)).collect()
+    assert sum(len(r["ids"]) for r in whole) == sum(r["length"] for r in rows if r["doc_id"] < 6)
+    assert packing.pack_documents(docs_of(spark, texts).where("false"), path).count() == 0
+
+
+def fewest(lengths, capacity):
+    best = len(lengths)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= capacity and bins[k] not in bins[:k]:
+                go(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, lengths[i]])
+
+    lengths.sort(reverse=True)
+    go(0, [])
+    return best
+
+
+def test_plans_against_the_fewest_sequences():
+    rng = random.Random(3)
+    over = 0
+    for _ in range(150):
+        cap = rng.choice([10, 20, 31])
+        lengths = [rng.randint(1, cap) for _ in range(rng.randint(1, 9))]
+        plan = packing.plan_sequences(dict(collections.Counter(lengths)), cap)
+        held = collections.Counter()
+        for pattern, times in plan:
+            assert times > 0 and sum(w * t for w, t in pattern) <= cap
+            for w, t in pattern:
+                held[w] += t * times
+        assert held == collections.Counter(lengths)
+        fixed, rest = packing.reduce_dominated(dict(collections.Counter(lengths)), cap)
+        least = fewest(list(lengths), cap)
+        assert sum(t for _, t in fixed) + fewest([w for w, c in rest.items() for _ in range(c)], cap) == least  # the reduction loses nothing
+        over += sum(t for _, t in plan) - least
+    assert over <= 5
+
+
+# ---- op6 ----
+
+
+def brute_lines(texts, min_docs=10):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    n = collections.Counter(k for _, t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
+    out = []
+    for i, t in texts:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not key(x) or n[key(x)] < min_docs]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_line_dedup(spark, batches):
+    rng = random.Random(4)
+    common = ["License text", "  license TEXT\t", "Éa", "éa", "a\u00a0", "x"]
+    texts = [(k % 50 if k % 7 else None, "\n".join(rng.choice([*common, f"line {rng.randrange(40)}", "", " \r", f"own {k}"]) for _ in range(rng.randrange(12)))) for k in range(120)]
+    texts += [(1000, None), (1001, ""), (1002, "\n" * 3000 + "License text\n" * 3000)] + [(1003, "copy of a text\nx")] * 15
+    df = docs_of(spark, texts)
+    parts = [df.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == k) for k in range(batches)]
+    out = line_dedup.dedup_lines(df, parts)
+    got = [(r["doc_id"], r["__line_n"], r["__line_dropped"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in out.collect()]
+    assert sorted(got, key=repr) == brute_lines(texts)
+    assert set(df.columns) <= set(out.columns)
+    assert line_dedup.dedup_lines(df.where("false")).count() == 0
+
+
+# ---- op7 ----
+
+
+def texts_for_bpe():
+    rng = random.Random(5)
+    out = ["", "a", " ", "a  b", "<|endoftext|> hi<|endoftext|>", "<|startoftext|>", "ÉA'S don't I'LL 123 ab12", "İstanbul ΣΑΣ ẞ", "a\x1cb\x85c\u2003d", "日本語 한국어", "e\u0301 \u0301x", "x" * 5000, "ab" * 2000 + " tail"]
+    return out + ["".join(rng.choice("ab'sTé \n\t<|>endoftext1$!\u0301") for _ in range(rng.randrange(60))) for _ in range(400)]
+
+
+def test_bpe_against_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own, texts = Tokenizer.from_file(path), bpe.WordBpe(path), texts_for_bpe()
+    for t, ids in zip(texts, own.encode_batch(texts), strict=True):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert ids.tolist() == want and own.decode(want) == lib.decode(want, skip_special_tokens=False)
+    got = {r["doc_id"]: r for r in bpe.digest_documents(docs_of(spark, [None, *texts[:20]]), path).collect()}
+    for i, t in enumerate([None, *texts[:20]]):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    both = bpe.decode_documents(bpe.encode_documents(docs_of(spark, texts[:9]), path), path)
+    assert both.count() == 9 and bpe.digest_documents(docs_of(spark, texts).where("false"), path).count() == 0
+
+
+def test_segment_trees_against_scanning():
+    rng = random.Random(6)
+    merges, known = [], list(range(6))
+    for new in range(6, 60):
+        merges.append((rng.choice(known), rng.choice(known), new))
+        known.append(new)
+    merges = list({m[:2]: m for m in reversed(merges)}.values())[::-1]
+    ranks = {m[:2]: (k, m[2]) for k, m in enumerate(merges)}
+    own = [[rng.randrange(6) for _ in range(rng.randrange(1, 70))] for _ in range(200)]
+    for w, got in zip(own, bpe.MergeForest(merges).merge(own), strict=True):
+        s = list(w)
+        while found := [(ranks[p][0], i) for i, p in enumerate(zip(s, s[1:], strict=False)) if p in ranks]:
+            _, i = min(found)
+            s[i : i + 2] = [ranks[s[i], s[i + 1]][1]]
+        assert got == s
+
+
+# ---- op8 ----
+
+
+def test_fixity_audit_and_files(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(400)] + [(7, "http://h/7", "<p>7</p>" * 2)] * 3 + [(None, None, None), (401, None, "é")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = warc.layout(df, per_file=50)
+    assert one.count() == len(rows)
+    same = warc.audit(one, warc.layout(df.repartition(5), per_file=50))
+    assert {r["status"] for r in same.collect()} == {"intact"} and same.count() == len(rows)
+    hurt = df.withColumn("html", F.when(F.col("page_id").isin(11, 222), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    found = warc.audit(one, warc.layout(hurt, per_file=50)).where("status <> 'intact'").collect()
+    assert sorted((r["record_id"], r["status"]) for r in found) == [(11, "changed"), (222, "changed")]
+    gone = materialised_without(warc.layout(df, per_file=50), 33)
+    found = {(r["record_id"], r["status"]) for r in warc.audit(one, gone).collect()}
+    assert {x for x in found if x[1] in ("missing", "extra", "changed")} == {(33, "missing")}
+    back = {(r["record_id"], r["status"]) for r in warc.audit(gone, one).collect()}
+    assert (33, "extra") in back and not {x for x in back if x[1] == "missing"}
+    warc.write_warc(df, f"file://{tmp_path}/w", per_file=50)
+    read = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    assert len(read) == len(rows)
+    want = collections.Counter((r["start"], r["stop"]) for r in one.collect())
+    assert collections.Counter((r["start"], r["stop"]) for r in read) == want
+    assert warc.audit(one.where("false"), one.where("false")).count() == 0
+
+
+def materialised_without(layout, record_id):
+    """A replica whose file lacks a record: what follows moves up."""
+    from pyspark.sql import Window
+
+    rows = layout.where(~F.col("record_id").eqNullSafe(F.lit(record_id))).withColumn("size", F.col("stop") - F.col("start"))
+    w = Window.partitionBy("file").orderBy("place")
+    stop = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("p", F.row_number().over(w).cast("long") - 1).withColumn("e", stop)
+    return rows.select("file", F.col("p").alias("place"), (F.col("e") - F.col("size")).alias("start"), F.col("e").alias("stop"), "record_id", "copy", "sha256")
+
+
+# ---- op9 ----
+
+
+def brute_nearest(rows, k):
+    ok = {i: np.array(v, float) for i, v in rows if v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for i, q in ok.items():
+        if i % 20 == 0:
+            out[i] = sorted(((-float(sum(a * b for a, b in zip(q, v, strict=True))), j) for j, v in ok.items() if j != i))[:k]
+    return out
+
+
+def test_nearest_against_all(spark):
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(12, 8)) * 3
+    rows = [(i, (middle[i % 12] + rng.normal(size=8) * 0.4).astype(np.float32).tolist()) for i in range(1500)]
+    rows += [(5000 + i, middle[0].astype(np.float32).tolist()) for i in range(300)]
+    rows += [(3000, None), (3020, [0.0] * 8), (3040, [float("nan")] + [1.0] * 7), (3060, [None] + [1.0] * 7), (3080, [float("inf")] * 8), (3100, [1.0] * 3), rows[20]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), ann.Params(list_size=64, sample=1000)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r)
+    want = brute_nearest(rows, 20)
+    assert set(got) == set(want)
+    hits = total = 0
+    for q, near in want.items():
+        assert [r["rank"] for r in got[q]] == list(range(1, 21))
+        keys = [(-r["score"], r["vec_id"]) for r in got[q]]
+        assert keys == sorted(keys)
+        hits += len({j for _, j in near} & {r["vec_id"] for r in got[q]})
+        total += len(near)
+    assert hits >= 0.9 * total
+    few = df.where("vec_id in (0, 1, 2)")
+    assert [(r["query_id"], r["rank"]) for r in ann.nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1), (0, 2)]
+    assert ann.nearest(df.where("false"), df).count() == 0
+
+
+# ---- op10 ----
+
+
+def toxic_table(rng, n):
+    bad, texts, labels = ["moronish", "scumbaggy", "trashfolk"], [], []
+    lexicon = [("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 8)))) for _ in range(700)]
+    for i in range(n):
+        w = [rng.choice(lexicon) for _ in range(rng.randint(20, 80))]
+        y = int(i % 4 == 0)
+        for _ in range(3 * y):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        texts.append((i, " ".join(w)))
+        labels.append((i, 1, y))
+    return texts, labels
+
+
+def test_toxicity_held_out(spark):
+    texts, labels = toxic_table(random.Random(8), 500)
+    texts += [(900, None), (901, ""), (902, "quiet words aeon"), (903, "you m0r0nish thing"), (904, "such a s.c.u.m.b.a.g.g.y person"), (905, "trrrashfolk !! tr@shfolk and moronish"), (906, "w " * 40_000), (907, texts[0][1]), (908, texts[0][1])]
+    lab = spark.createDataFrame(labels + [(5000, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs_of(spark, texts), lab).collect()}
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    held = [(got[i]["predicted"], y) for i, _, y in labels if got[i]["held_out"]]
+    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+    assert not any(got[i]["predicted"] for i in (900, 901, 902, 906)) and got[907]["score"] == got[908]["score"]
+    assert all(got[i]["predicted"] for i in (903, 904, 905))
+    kept = toxicity.filter_documents(docs_of(spark, texts), lab)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]} and kept.columns == docs_of(spark, texts).columns
+
+
+def test_toxicity_never_learns_from_held_out_rows(spark):
+    texts, labels = toxic_table(random.Random(9), 200)
+    flipped = [(i, q, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, q, y in labels]
+    schema, docs = "doc_id long, quality int, toxic int", docs_of(spark, texts)
+    one = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, spark.createDataFrame(labels, schema)).collect()}
+    two = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, spark.createDataFrame(flipped, schema)).collect()}
+    assert one == two
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert not any(r["predicted"] for r in toxicity.score_documents(docs_of(spark, ["a b", None]), none).collect())
+    assert toxicity.score_documents(docs_of(spark, ["a"]).where("false"), none).count() == 0
+
+
+def test_viterbi_against_all_paths():
+    counts = np.zeros(toxicity.ORDER * toxicity.LM_CELLS, np.int64)
+    frame = toxicity._ngrams(collections.Counter({"idiot": 50, "lost": 30, "title": 20, "iii": 1}))
+    counts[frame["cell"]] = frame["n"]
+    model = toxicity.CharModel(counts)
+    for token in ("1d10t", "l0st", "t!tle", "iiidiot"):
+        best = (-math.inf, "")
+        for path in itertools.product(*toxicity.lattice(token)):
+            text, score = "".join(p[0] for p in path), sum(p[1] for p in path)
+            full = "\n" + text + "\n"
+            score += sum(model.log_p(full[max(0, k - toxicity.ORDER + 1) : k + 1]) for k in range(1, len(full)))
+            best = max(best, (score, text))
+        assert toxicity.decode(token, model) == best[1]
