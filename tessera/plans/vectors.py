@@ -111,7 +111,7 @@ def image_distances(spark, d):
 # ---- maps ----
 
 
-@query(f"WITH {VEC} SELECT pos, least(greatest(v, 50000), 150000) AS clamped, CASE WHEN v > 100000 THEN 1.0 ELSE 0.0 END AS high, CASE WHEN v < 50000 THEN 0.0 ELSE v END AS above FROM vec")
+@query(f"WITH {VEC} SELECT pos, least(greatest(v, 50000), 150000) AS clamped, CASE WHEN v > 100000 THEN 1::DOUBLE ELSE 0::DOUBLE END AS high, CASE WHEN v < 50000 THEN 0.0 ELSE v END AS above FROM vec")
 def vec_clamp_threshold(spark, d):
     x = F.col("v")
     return vector(spark, d).select("pos", v.clamp(x, 50000.0, 150000.0).alias("clamped"), v.threshold(x, 100000.0, 0.0, 1.0).alias("high"), v.threshold_from_below(x, 50000.0, 0.0).alias("above"))
