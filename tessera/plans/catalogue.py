@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import grids, learning, vectors
+from . import grids, learning, more, vectors
 
-QUERIES = {**vectors.QUERIES, **grids.QUERIES, **learning.QUERIES}
-ORACLE_SQL = {**vectors.ORACLE_SQL, **grids.ORACLE_SQL, **learning.ORACLE_SQL}
+QUERIES = {**vectors.QUERIES, **grids.QUERIES, **learning.QUERIES, **more.QUERIES}
+ORACLE_SQL = {**vectors.ORACLE_SQL, **grids.ORACLE_SQL, **learning.ORACLE_SQL, **more.ORACLE_SQL}
 FLAGSHIP = learning.quality_metrics

@@ -173,3 +173,22 @@ def test_color_round_trip(spark):
     back = color.hsv_to_rgb(*color.rgb_to_hsv(F.col("r"), F.col("g"), F.col("b")))
     for r in df.select("r", "g", "b", *[c.alias(n) for c, n in zip(back, "xyz", strict=True)]).collect():
         assert np.allclose(r[:3], r[3:])
+
+
+def test_scalar_functions(spark):
+    import math
+
+    from tessera.functions import scalar
+
+    xs = [-3.0, -0.5, 0.0, 0.3, 1.0, 2.5]
+    df = spark.createDataFrame([(x, int(abs(x) * 4)) for x in xs], "x double, k int")
+    x = F.col("x")
+    rows = df.select("x", "k", scalar.erf(x).alias("erf"), scalar.normal_cdf(x, 0.5, 2.0).alias("cdf"), scalar.polynomial(x, (1, 2, 3)).alias("p"), scalar.poisson_pmf(F.col("k"), 3.0).alias("pmf"),
+                     scalar.heaviside(x, 1.0, "polynomial2").alias("h"), scalar.smooth_max(x, F.lit(0.0), 0.0).alias("m"), scalar.signum(x, 1.0).alias("s")).collect()
+    for r in rows:
+        assert abs(r["erf"] - math.erf(r["x"])) < 1.5e-7
+        assert abs(r["cdf"] - 0.5 * (1 + math.erf((r["x"] - 0.5) / (2 * math.sqrt(2))))) < 1e-6
+        assert abs(r["p"] - (1 + 2 * r["x"] + 3 * r["x"] ** 2)) < 1e-12
+        assert abs(r["pmf"] - math.exp(-3) * 3 ** r["k"] / math.factorial(r["k"])) < 1e-12
+        assert r["m"] == max(r["x"], 0) and r["s"] == (1 if r["x"] >= 0 else -1)
+        assert 0 <= r["h"] <= 1
