@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SKETCH_BITS, CHUNK_BITS = 22, 16
+#: Size of the bitmap of shingles that occur in several prefixes: 8 MB.
+BITMAP_BITS = 26
 BASE = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX_A, MIX_B, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -197,11 +199,45 @@ def merged_sketch(rows: DataFrame) -> np.ndarray:
 # ---- pass 2: prefixes ----
 
 
-def prefixes(docs: DataFrame, text: str, sketch, width: int, percent: int) -> DataFrame:
-    """s, token, and n << 32 | place of every prefix shingle; a set seen twice in a task comes once."""
+def bitmap_of(tokens: DataFrame) -> np.ndarray:
+    """A bit for each cell of a table of fixed size that one of tokens falls into.
+
+    It spares the shuffle most shingles that occur in one text only. A table
+    that fills up lets more of them through; the join behind it is exact."""
+    chunk = 1 << CHUNK_BITS  # bytes
+    chunks = (1 << BITMAP_BITS) // 8 // chunk
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << BITMAP_BITS, bool)
+        for b in batches:
+            bits[b["token"].to_numpy() & ((1 << BITMAP_BITS) - 1)] = True
+        parts = np.packbits(bits, bitorder="little").reshape(chunks, chunk)
+        some = np.flatnonzero(parts.any(1))
+        yield pd.DataFrame({"chunk": some.astype(np.int32), "part": [zlib.compress(parts[c].tobytes(), 1) for c in some]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, part in zip(b["chunk"], b["part"], strict=True):
+                x = np.frombuffer(zlib.decompress(part), np.uint8)
+                total[c] = total[c] | x if c in total else x
+        for c, x in total.items():
+            yield pd.DataFrame({"chunk": [c], "part": [x.tobytes()]})
+
+    kind = "chunk int, part binary"
+    out = np.zeros((chunks, chunk), np.uint8)
+    for c, part in tokens.mapInPandas(mark, kind).repartition(chunks, "chunk").mapInPandas(merge, kind).collect():
+        out[c] = np.frombuffer(part, np.uint8)
+    return out.ravel()
+
+
+def prefixes(docs: DataFrame, text: str, sketch, width: int, percent: int, only=None) -> DataFrame:
+    """s, token, and n << 32 | place of every prefix shingle (of those marked in
+    the bitmap only, if it is given); a set seen twice in a task comes once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level, mask = sketch.value, np.uint64((1 << SKETCH_BITS) - 1)
+        bits, cells = (only.value if only else None), np.uint64((1 << BITMAP_BITS) - 1)
         seen: set[int] = set()
         for b in batches:
             tokens, ids, places, held = [], [], [], 0
@@ -217,10 +253,15 @@ def prefixes(docs: DataFrame, text: str, sketch, width: int, percent: int) -> Da
                     order = near[np.argsort(freq[near], kind="stable")][:p]
                 else:
                     order = np.argsort(freq, kind="stable")
-                tokens.append(s[order])
-                ids.append(np.full(p, i, np.int64))
-                places.append(np.arange(p, dtype=np.int64) | len(s) << 32)
-                held += p
+                own, at = s[order], np.arange(p, dtype=np.int64)
+                if bits is not None:
+                    cell = (own & cells).astype(np.int64)
+                    on = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+                    own, at = own[on], at[on]
+                tokens.append(own)
+                ids.append(np.full(len(own), i, np.int64))
+                places.append(at | len(s) << 32)
+                held += len(own)
                 if held > 200_000:
                     yield _postings(tokens, ids, places)
                     tokens, ids, places, held = [], [], [], 0
@@ -255,9 +296,12 @@ def may_link(percent: int) -> Column:
     n, m = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
     i, j = F.col("x.np").bitwiseAND(0xFFFFFFFF), F.col("y.np").bitwiseAND(0xFFFFFFFF)
     lengths = F.lit(percent) * F.greatest(n, m) <= F.lit(100) * F.least(n, m)
+    need = needed_overlap(n, m, percent)
+    # a pair that links shares a shingle among the first n - need + 1 and m - need + 1 of its sets
+    places = (i <= n - need) & (j <= m - need)
     # what they can share up to this shingle, and all that the shorter rest can add
     bound = F.least("x.r", "y.r") + F.least(n - i - 1, m - j - 1)
-    return lengths & (bound >= needed_overlap(n, m, percent))
+    return lengths & places & (bound >= need)
 
 
 def paired(rows: DataFrame, percent: int) -> DataFrame:
@@ -357,9 +401,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
 def class_components(docs: DataFrame, profiles: DataFrame, text: str, width: int, percent: int, sketch) -> DataFrame | None:
     """(s, comp) of the sets that link with another; None if there is none."""
-    postings = prefixes(docs, text, sketch, width, percent)
-    often = postings.select("token").groupBy("token").count().where("count > 1").select("token")
-    shared = postings.join(often, "token", "left_semi").dropDuplicates(["token", "s"])
+    often = prefixes(docs, text, sketch, width, percent).select("token").groupBy("token").count().where("count > 1").select("token")
+    often = materialise(often, "often")
+    only = docs.sparkSession.sparkContext.broadcast(bitmap_of(often))
+    shared = prefixes(docs, text, sketch, width, percent, only).join(often, "token", "left_semi").dropDuplicates(["token", "s"])
     shared = materialise(with_shared_rank(shared.withColumn("comp", F.col("s"))), "postings")
     found: DataFrame | None = None
     sets: DataFrame | None = None
