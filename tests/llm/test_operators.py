@@ -463,6 +463,18 @@ def test_nearest_against_all(spark):
     assert ann.nearest(df.where("false"), df).count() == 0
 
 
+def test_nearest_reads_all_lists_within_the_ratio(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    p = ann.Params(list_size=4, ratio=1e9)
+    assert len(rows) // p.list_size > 2 * p.beam
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), p).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert got == {q: {j for _, j in near} for q, near in brute_nearest(rows, 20).items()}
+
+
 # ---- op10 ----
 
 
