@@ -7,7 +7,8 @@ of single letters with separators) becomes a lattice: each sign may stand for
 itself or for letters that it resembles, a repeated letter for one or two of
 them, a separator for nothing. The Viterbi algorithm finds the path of the
 greatest channel probability times language-model probability. Tokens without
-such marks stay as they are.
+such marks stay as they are. Runs, and tokens with separators, are also read
+with separators that may end a word; each word of that reading counts.
 
 Scoring. Features are the restored words and their beginnings. Labelled training
 rows give each feature its share of toxic and of clean documents; its evidence
@@ -45,6 +46,7 @@ ORDER = 4
 TOKEN = re.compile(r"\S+")
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$!|+*#") + "«»„“”‘’…–—"
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][\s.\-_*]{1,2}){3,}[^\W_](?![^\W_])")
+SET_APART = re.compile(r"([^\W_])([\s.\-_*]*)")
 THRICE = re.compile(r"([^\W\d_])\1\1")
 SIGN_IN_WORD = re.compile(r"[^\W\d_][0-9@$!|+*#%(€£¡.\-_]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]|[^\W\d_][0-9@$|+€£]+$")
 
@@ -133,16 +135,18 @@ class CharModel:
 
 SAME, LOOK, DROP, TWICE = 0.0, -1.0, -0.7, -1.2
 KEEP_SIGN = -6.0
+BREAK = -2.0  # a separator ends a word
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each place, what may have stood there, with the channel's log probability."""
+def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
+    """For each place, what may have stood there, with the channel's log probability.
+    With breaks, a separator may stand for a word's end (a line feed)."""
     out: list[list[tuple[str, float]]] = []
     at = 0
     while at < len(token):
         c = token[at]
         run = at
-        while run < len(token) and token[run] == c:
+        while (c.isalpha() or c in LOOKS_LIKE) and run < len(token) and token[run] == c:
             run += 1
         if c.isalpha():
             if run - at >= 3:
@@ -156,29 +160,59 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 at = run
                 continue
         else:
-            out.append([("", DROP)])
+            out.append([("", DROP), ("\n", DROP + BREAK)] if breaks else [("", DROP)])
         at += 1
     return out
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The most probable spelling of a token (Viterbi over the last ORDER - 1 letters)."""
-    states: dict[str, tuple[float, str]] = {"\n": (0.0, "")}
-    for choices in lattice(token):
-        after: dict[str, tuple[float, str]] = {}
+def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """The lattice of letters set apart. Any separator may end a word; where the
+    run has separators of one and of two signs, one of two rather does than not."""
+    found = SET_APART.findall(run)
+    wide = 2 if {len(s) for _, s in found[:-1]} == {1, 2} else 3
+    out: list[list[tuple[str, float]]] = []
+    for k, (c, sep) in enumerate(found):
+        places = lattice(c)
+        if c.isalpha() and k and found[k - 1][0] == c and c in (found[k - 2][0] if k > 1 else "", found[k + 1][0] if k + 1 < len(found) else ""):
+            places = [[(c, SAME), ("", TWICE)]]  # one of three or more
+        out += places
+        if sep:
+            joins, ends = (BREAK, 0.0) if len(sep) >= wide else (0.0, BREAK)
+            out.append([("", joins), ("\n", ends), *((x, LOOK - np.log(len(LOOKS_LIKE["*"]))) for x in LOOKS_LIKE["*"] if "*" in sep)])
+    return out
+
+
+def best_path(places: list[list[tuple[str, float]]], model: CharModel) -> str:
+    """The most probable spelling of a lattice (Viterbi over the last ORDER - 1 letters of a word)."""
+    states: dict[str, tuple[float, tuple | None]] = {"\n": (0.0, None)}
+    for choices in places:
+        after: dict[str, tuple[float, tuple | None]] = {}
         for tail, (score, made) in states.items():
             for letters, channel in choices:
                 s, t = score + channel, tail
                 for c in letters:
+                    if c == t == "\n":  # no word ends where none began
+                        continue
                     s += model.log_p(t + c)
-                    t = (t + c)[-(ORDER - 1) :]
+                    t = c if c == "\n" else (t + c)[-(ORDER - 1) :]
                 if t not in after or s > after[t][0]:
-                    after[t] = (s, made + letters)
+                    after[t] = (s, (made, letters) if letters else made)
         states = after
-    end = [(s + model.log_p(t + "\n"), made) for t, (s, made) in states.items()]
+    end = []
+    for t, (s, made) in states.items():
+        spelt = []
+        while made:
+            made, letters = made
+            spelt.append(letters)
+        end.append((s + model.log_p(t + "\n"), "".join(reversed(spelt))))
     return max(end)[1]
 
 
+def decode(token: str, model: CharModel) -> str:
+    """The most probable spelling of a token as one word."""
+    return best_path(lattice(token), model)
+
+
 def bare(token: str) -> str:
     return token.strip(EDGE).rstrip("!*#$%&|").lstrip("*#%&")
 
@@ -186,26 +220,31 @@ def bare(token: str) -> str:
 class Restorer:
     def __init__(self, model: CharModel):
         self.model = model
-        self.kept: dict[str, str] = {}
+        self.kept: dict[str, tuple[str, ...]] = {}
 
-    def word(self, token: str) -> str:
-        """A lower-cased token without the signs at its ends, deobfuscated if it needs to be."""
+    def readings(self, token: str) -> tuple[str, ...]:
+        """A lower-cased token without the signs at its ends, deobfuscated if it
+        needs to be; then also the words that its separators part."""
         if (w := self.kept.get(token)) is None:
             if len(self.kept) > 100_000:
                 self.kept.clear()
-            w = bare(token)
-            if w and not w.isalpha() and len(w) <= 60 and SIGN_IN_WORD.search(w) or THRICE.search(w) and len(w) <= 200:
-                w = decode(w, self.model)
+            plain = bare(token)
+            w = (plain,)
+            if plain and not plain.isalpha() and SIGN_IN_WORD.search(plain) or THRICE.search(plain):
+                w = (decode(plain, self.model),)
+                if any(not c.isalpha() and c not in LOOKS_LIKE for c in plain):
+                    w += tuple(best_path(lattice(plain, breaks=True), self.model).split("\n"))
             self.kept[token] = w
         return w
 
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
-        found = {self.word(t) for t in set(low.split())}
+        found = {w for t in set(low.split()) for w in self.readings(t)}
         for m in SPACED.finditer(low):
-            # letters set apart: join them, then read the signs among them
-            joined = decode("".join(c for c in m[0] if not c.isspace())[:60], self.model)
+            # letters set apart: join them, then read the signs among them; as one word and as several
+            joined = decode("".join(c for c in m[0] if not c.isspace()), self.model)
             found.update((joined, joined[1:], joined[:-1]))  # a one-letter word may stand beside it
+            found.update(best_path(spaced_lattice(m[0]), self.model).split("\n"))
         found.discard("")
         return found
 

@@ -534,3 +534,16 @@ def test_viterbi_against_all_paths():
             score += sum(model.log_p(full[max(0, k - toxicity.ORDER + 1) : k + 1]) for k in range(1, len(full)))
             best = max(best, (score, text))
         assert toxicity.decode(token, model) == best[1]
+
+
+def test_words_of_long_runs_and_tokens():
+    plain = {"you": 50, "are": 40, "stupid": 30, "idiot": 30, "and": 50, "nothing": 20, "else": 20}
+    counts = np.zeros(toxicity.ORDER * toxicity.LM_CELLS, np.int64)
+    frame = toxicity._ngrams(collections.Counter(plain))
+    counts[frame["cell"]] = frame["n"]
+    restorer = toxicity.Restorer(toxicity.CharModel(counts))
+    said = "you are nothing and nothing and nothing and nothing else and you are stupid idiot".split()
+    assert len("".join(said)) > 60 and len(said) == 15
+    assert set(said) <= restorer.words("  ".join(" ".join(w) for w in said))
+    assert {"stupid", "idiot"} <= restorer.words("s t u p i d i d i o t") and "stupid" in restorer.words("s  t  u  p  1  d")
+    assert set(said) <= restorer.words("-".join(said).replace("stupid", "stup1d").replace("idiot", "1diot"))
