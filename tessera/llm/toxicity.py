@@ -40,7 +40,8 @@ LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou", "%": "aeiou",
 }
-LM_CELLS = 1 << 16
+LM_CELLS = 1 << 16  # of a dense table
+WIDE = 1 << 60  # so many cells that grams don't share one; only those that occur are held
 ORDER = 4
 
 TOKEN = re.compile(r"\S+")
@@ -55,7 +56,7 @@ SIGN_IN_WORD = re.compile(r"[^\W\d_][0-9@$!|+*#%(€£¡.\-_]+[^\W\d_]|^[0-9@$!|
 
 
 def ngram_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(cell, n): letter n-grams of all words of all documents, hashed to LM_CELLS for each order."""
+    """(cell, n): letter n-grams of all words of all documents, hashed to WIDE cells for each order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter[str] = Counter()
@@ -63,33 +64,37 @@ def ngram_counts(docs: DataFrame, text: str) -> DataFrame:
             for t in b["t"]:
                 words.update(t.lower().split())
             if len(words) > 200_000:
-                yield _ngrams(words)
+                yield _ngrams(words, WIDE)
                 words = Counter()
         if words:
-            yield _ngrams(words)
+            yield _ngrams(words, WIDE)
 
     rows = docs.select(F.col(text).alias("t")).where("t IS NOT NULL")
-    return rows.mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _ngrams(words: Counter[str]) -> pd.DataFrame:
+def _ngrams(words: Counter[str], cells: int = LM_CELLS) -> pd.DataFrame:
     """Counts of the n-grams of orders 1 to ORDER, vectorised over the words' code points."""
-    out = np.zeros(ORDER * LM_CELLS, np.int64)
-    plain = [(w, n) for w, n in words.items() if w.isalpha() and len(w) <= 40]
+    plain: Counter[str] = Counter()
+    for w, n in words.items():
+        if (w := bare(w)).isalpha():
+            plain[w] += n
+    found = []
     if plain:
-        text = "\n" + "\n".join(w for w, _ in plain) + "\n"
+        text = "\n" + "\n".join(plain) + "\n"
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        weight = np.repeat(np.array([n for _, n in plain]), [len(w) + 1 for w, _ in plain])
+        weight = np.repeat(np.array(list(plain.values())), [len(w) + 1 for w in plain])
         weight = np.concatenate([weight, [0]])  # the end mark counts with its word
         weight = np.concatenate([[0], weight])[: len(code)]
         for k in range(1, ORDER + 1):
-            h, ok = gram_hashes(code, k)
-            out[(k - 1) * LM_CELLS : k * LM_CELLS] += np.bincount(h[ok], weight[k - 1 :][ok], LM_CELLS).astype(np.int64)
-    at = np.flatnonzero(out)
-    return pd.DataFrame({"cell": at.astype(np.int32), "n": out[at]})
+            h, ok = gram_hashes(code, k, cells)
+            at, of = np.unique(h[ok], return_inverse=True)
+            found.append(pd.DataFrame({"cell": at + (k - 1) * cells, "n": np.bincount(of, weight[k - 1 :][ok], len(at)).astype(np.int64)}))
+    out = pd.concat(found, ignore_index=True) if found else pd.DataFrame({"cell": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    return out[out["n"] > 0]
 
 
-def gram_hashes(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def gram_hashes(code: np.ndarray, k: int, cells: int = LM_CELLS) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the k-grams of code points; and which of them hold no boundary but at the ends."""
     n = len(code) - k + 1
     h, ok = np.full(n, k, np.uint64), np.ones(n, bool)
@@ -98,34 +103,40 @@ def gram_hashes(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(32)
         if 0 < j < k - 1:
             ok &= code[j : j + n] != 10
-    return (h % np.uint64(LM_CELLS)).astype(np.int64), ok
+    return (h % np.uint64(cells)).astype(np.int64), ok
 
 
 class CharModel:
     """log P(letter | up to ORDER - 1 letters before it), interpolated over the orders."""
 
-    def __init__(self, counts: np.ndarray, strength: float = 8.0):
-        self.counts = counts.reshape(ORDER, LM_CELLS)
-        self.total = max(1, int(self.counts[0].sum()))
+    def __init__(self, counts: np.ndarray, keys: np.ndarray | None = None, strength: float = 8.0):
+        """counts: by cell of a dense table, or of the sorted cells ``keys`` out of WIDE for each order."""
+        self.counts, self.keys, self.cells = counts, keys, len(counts) // ORDER if keys is None else WIDE
+        first = self.cells if keys is None else np.searchsorted(keys, WIDE)
+        self.total = max(1, int(counts[:first].sum()))
         self.strength = strength
         self.kept: dict[str, float] = {}
 
-    def _cell(self, gram: str) -> int:
+    def count(self, gram: str) -> int:
         h = len(gram)
         for c in gram:
             h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
             h ^= h >> 32
-        return h % LM_CELLS
+        at = (len(gram) - 1) * self.cells + h % self.cells
+        if self.keys is None:
+            return int(self.counts[at])
+        i = int(self.keys.searchsorted(at))
+        return int(self.counts[i]) if i < len(self.keys) and self.keys[i] == at else 0
 
     def log_p(self, gram: str) -> float:
         """Of the last letter, given those before it."""
         if (p := self.kept.get(gram)) is None:
             if len(self.kept) > 200_000:
                 self.kept.clear()
-            x = (int(self.counts[0][self._cell(gram[-1])]) + 0.1) / (self.total + 50)
+            x = (self.count(gram[-1]) + 0.1) / (self.total + 50)
             for k in range(2, len(gram) + 1):
                 g = gram[-k:]
-                n, of = int(self.counts[k - 1][self._cell(g)]), int(self.counts[k - 2][self._cell(g[:-1])])
+                n, of = self.count(g), self.count(g[:-1])
                 x = (n + self.strength * x) / (max(n, of) + self.strength)
             p = self.kept[gram] = float(np.log(x))
         return p
@@ -319,11 +330,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
 
 
 def language_model(docs: DataFrame, text: str = "text") -> CharModel:
-    """From all documents. The driver gets at most ORDER * LM_CELLS counts."""
-    counts = np.zeros(ORDER * LM_CELLS, np.int64)
-    for c, n in ngram_counts(docs, text).collect():
-        counts[c] = n
-    return CharModel(counts)
+    """From all documents. The driver gets a cell and a count for each distinct n-gram."""
+    found = ngram_counts(docs, text).toPandas().sort_values("cell")
+    return CharModel(found["n"].to_numpy(np.int64), found["cell"].to_numpy(np.int64))
 
 
 FOLDS = 4
@@ -406,12 +415,12 @@ def held_out(key: Column) -> Column:
 
 def score_texts(docs: DataFrame, scorer: Scorer, model: CharModel, text: str = "text", score: str = "score") -> DataFrame:
     """docs with a column of scores from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.evidence, scorer.weights, model.counts))
+    shared = docs.sparkSession.sparkContext.broadcast((scorer.evidence, scorer.weights, model.counts, model.keys))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        evidence, weights, counts = shared.value
-        restorer, own = Restorer(CharModel(counts)), Scorer(evidence, weights)
+        evidence, weights, counts, keys = shared.value
+        restorer, own = Restorer(CharModel(counts, keys)), Scorer(evidence, weights)
         for texts in batches:
             yield texts.map(lambda t: own.score(restorer.words(t))).astype("float64")
 

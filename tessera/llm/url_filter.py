@@ -7,8 +7,9 @@ difference per character exceeds a threshold, calibrated on all labelled URLs:
 the one that best separates the two classes (balanced accuracy), halfway to
 the next score.
 
-Counts are kept in hashed tables of a fixed size, filled from every labelled
-URL; the driver sees those tables and two histograms, whatever the input.
+Counts are kept by 64-bit hashes of the grams that occur, over every labelled
+URL; the driver gets one key and two counts for each distinct gram, so that no
+two grams share a cell however many there are, and two histograms.
 
 Defined cases: a null URL, or one without "://", has an empty host and an empty
 path, fits no rule and is allowed; so is any URL that the models can't tell
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-ORDER, CELLS = 5, 1 << 15
+ORDER, CELLS = 5, 1 << 15  # cells of a dense table
+WIDE = 1 << 59  # so many cells that grams don't share one; only those that occur are held
 #: Scores are calibrated in bins of this width between -LIMIT and LIMIT.
 STEP, LIMIT = 0.01, 20.0
 
@@ -78,7 +80,7 @@ def seed_label(host: Column, seeds: tuple[str, ...] = SPAM_SEEDS) -> Column:
 # ---- the models ----
 
 
-def grams(urls: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(urls: list[str], k: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the grams of k characters that end at each place of each URL (an
     end mark included), and the URL of each. Marks before the start fill contexts."""
     sizes = np.fromiter(map(len, urls), np.int64, len(urls)) + 1
@@ -89,10 +91,10 @@ def grams(urls: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(k - 1, -1, -1):
         h = (h ^ code[end - j]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return (h % np.uint64(CELLS)).astype(np.int64), own
+    return (h % np.uint64(cells)).astype(np.int64), own
 
 
-def contexts(urls: list[str], k: int) -> np.ndarray:
+def contexts(urls: list[str], k: int, cells: int = CELLS) -> np.ndarray:
     """Cells of the k characters before each place."""
     marked = ["\x02" + u for u in urls]  # the place before the first character, and without the end mark
     code = np.frombuffer("".join("\x02" * (ORDER - 1) + u for u in marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -103,41 +105,58 @@ def contexts(urls: list[str], k: int) -> np.ndarray:
     for j in range(k - 1, -1, -1):
         h = (h ^ code[end - j]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return (h % np.uint64(CELLS)).astype(np.int64)
+    return (h % np.uint64(cells)).astype(np.int64)
 
 
-def count_tables(labelled: DataFrame) -> np.ndarray:
-    """[class, order, 0: grams or 1: contexts, cell] over all rows of labelled (url, y)."""
+class Counts:
+    """How often the grams of each class occur, by sorted keys."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.n = keys, n  # n: [class, key]
+
+    def of(self, k: int, kind: int, cells: np.ndarray) -> np.ndarray:
+        """[class, cell] of the grams (kind 0) or contexts (kind 1) of order k."""
+        if not len(self.keys):
+            return np.zeros((2, len(cells)), np.int64)
+        distinct, back = np.unique(key(k, kind, cells), return_inverse=True)
+        at = np.minimum(self.keys.searchsorted(distinct), len(self.keys) - 1)
+        return np.where(self.keys[at] == distinct, self.n[:, at], 0)[:, back]
+
+
+def key(k: int, kind: int, cells: np.ndarray) -> np.ndarray:
+    return cells + (2 * k + kind) * WIDE
+
+
+def count_tables(labelled: DataFrame) -> Counts:
+    """Of all grams and contexts of all rows of labelled (url, y)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, ORDER, 2, CELLS), np.int64)
         for b in batches:
             for y in (0, 1):
                 urls = b["url"][b["y"] == y].tolist()
                 for k in range(ORDER) if urls else ():
-                    total[y, k, 0] += np.bincount(grams(urls, k + 1)[0], minlength=CELLS)
-                    total[y, k, 1] += np.bincount(contexts(urls, k), minlength=CELLS)
-        flat = total.ravel()
-        at = np.flatnonzero(flat)
-        yield pd.DataFrame({"cell": at.astype(np.int32), "n": flat[at]})
+                    for kind, cells in enumerate((grams(urls, k + 1, WIDE)[0], contexts(urls, k, WIDE))):
+                        found, n = np.unique(key(k, kind, cells), return_counts=True)
+                        yield pd.DataFrame({"key": found, f"n{y}": n, f"n{1 - y}": 0})[["key", "n0", "n1"]]
 
-    out = np.zeros(2 * ORDER * 2 * CELLS, np.int64)
-    found = labelled.mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(2, ORDER, 2, CELLS)
+    rows = labelled.mapInPandas(run, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = rows.toPandas().sort_values("key")
+    return Counts(found["key"].to_numpy(np.int64), found[["n0", "n1"]].to_numpy(np.int64).T.copy())
 
 
-def scores(urls: list[str], tables: np.ndarray, strength: float = 4.0, alphabet: int = 256) -> np.ndarray:
-    """Rejected minus accepted log-likelihood of each URL per character."""
+def scores(urls: list[str], tables: np.ndarray | Counts, strength: float = 4.0, alphabet: int = 256) -> np.ndarray:
+    """Rejected minus accepted log-likelihood of each URL per character; tables
+    are Counts, or dense as [class, order, 0: grams or 1: contexts, cell]."""
     if not urls:
         return np.zeros(0)
     p = np.full((2, sum(map(len, urls)) + len(urls)), 1.0 / alphabet)
     own = None
     for k in range(ORDER):
-        cells, own = grams(urls, k + 1)
-        before = contexts(urls, k)
-        for y in (0, 1):
-            n, of = tables[y, k, 0][cells], tables[y, k, 1][before]
+        wide = isinstance(tables, Counts)
+        cells, own = grams(urls, k + 1, WIDE if wide else CELLS)
+        before = contexts(urls, k, WIDE if wide else CELLS)
+        ns, ofs = (tables.of(k, 0, cells), tables.of(k, 1, before)) if wide else (tables[:, k, 0, cells], tables[:, k, 1, before])
+        for y, (n, of) in enumerate(zip(ns, ofs, strict=True)):
             p[y] = (np.minimum(n, of) + strength * p[y]) / (of + strength)
     ratio = np.log(p[1]) - np.log(p[0])
     return np.bincount(own, ratio, len(urls)) / (np.fromiter(map(len, urls), float, len(urls)) + 1)

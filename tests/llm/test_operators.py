@@ -92,6 +92,21 @@ def test_url_scores_against_plain_counting():
     assert np.allclose(url_filter.scores(probe, tables), [score(u) for u in probe], atol=1e-3)
 
 
+def test_url_counts_hold_every_gram_apart(spark):
+    rng = random.Random(2)
+    urls = ["http://" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) for _ in range(3000)]
+    plain = [collections.Counter(), collections.Counter()]
+    for i, u in enumerate(urls):
+        marked = "\x02" * (url_filter.ORDER - 1) + u + "\x03"
+        plain[i % 2].update(marked[e - url_filter.ORDER + 1 : e + 1] for e in range(url_filter.ORDER - 1, len(marked)))
+    assert len(plain[0]) > url_filter.CELLS
+    tables = url_filter.count_tables(spark.createDataFrame([(u, i % 2) for i, u in enumerate(urls)], "url string, y int").repartition(3))
+    for u in urls[:20]:
+        marked = "\x02" * (url_filter.ORDER - 1) + u + "\x03"
+        got = tables.of(url_filter.ORDER - 1, 0, url_filter.grams([u], url_filter.ORDER, url_filter.WIDE)[0])
+        assert got.tolist() == [[plain[y][marked[e - url_filter.ORDER + 1 : e + 1]] for e in range(url_filter.ORDER - 1, len(marked))] for y in (0, 1)]
+
+
 # ---- op2 ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site name</p></header>
@@ -547,3 +562,17 @@ def test_words_of_long_runs_and_tokens():
     assert set(said) <= restorer.words("  ".join(" ".join(w) for w in said))
     assert {"stupid", "idiot"} <= restorer.words("s t u p i d i d i o t") and "stupid" in restorer.words("s  t  u  p  1  d")
     assert set(said) <= restorer.words("-".join(said).replace("stupid", "stup1d").replace("idiot", "1diot"))
+
+
+def test_letter_counts_hold_every_gram_apart(spark):
+    rng = random.Random(4)
+    lexicon = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 60))) for _ in range(6000)]
+    plain = collections.Counter()
+    for w in lexicon:
+        full = "\n" + w + "\n"
+        plain.update(full[i : i + 4] for i in range(len(full) - 3))
+    assert len(plain) > toxicity.LM_CELLS
+    texts = [" ".join(lexicon[i : i + 50]) + "," for i in range(0, 6000, 50)]
+    model = toxicity.language_model(docs_of(spark, texts))
+    probe = sorted(plain)[::200]
+    assert [model.count(g) for g in probe] == [plain[g] for g in probe] and model.count("\n\n\n\n") == 0
