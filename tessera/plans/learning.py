@@ -155,6 +155,13 @@ def covariance(spark, d):
     return spark.createDataFrame([(i, j, round(float(s[i, j]), 4)) for i in range(8) for j in range(8)], "i long, j long, v double")
 
 
+@query()
+def covariance_all(spark, d):
+    """Scatter matrix of all components."""
+    _, s, _ = m.covariance(features(spark, d), DIM)
+    return spark.createDataFrame([(i, j, round(float(s[i, j]), 4)) for i in range(DIM) for j in range(DIM)], "i long, j long, v double")
+
+
 @query()
 def pca_energy(spark, d):
     _, values, _ = m.principal_components(features(spark, d), DIM, 0.8)
@@ -187,24 +194,39 @@ FIVE_POINT = f"""{PIX}, x0 AS (SELECT (y * {SIDE} + x)::BIGINT AS i, v FROM pix
   UNION ALL SELECT i, i + {SIDE}, -1.0 FROM x0 WHERE i < {SIDE * (SIDE - 1)} UNION ALL SELECT i, i - {SIDE}, -1.0 FROM x0 WHERE i >= {SIDE})"""
 
 
-def five_point(spark, d):
-    x = raster(spark, d).where("image_id = 0").select((F.col("y") * SIDE + F.col("x")).cast("long").alias("i"), "v")
-    i, row = F.col("i"), F.col("i") % SIDE
+def five_point(spark, d, images="true"):
+    """Pixels of the images, one after another, and a block of the matrix for each image."""
+    x = raster(spark, d).where(images).select(((F.col("image_id") * SIDE + F.col("y")) * SIDE + F.col("x")).cast("long").alias("i"), "v")
+    i, row, place = F.col("i"), F.col("i") % SIDE, F.col("i") % (SIDE * SIDE)
     near = F.array(
         F.struct(i.alias("j"), F.lit(5.0).alias("v")), F.when(row < SIDE - 1, F.struct((i + 1).alias("j"), F.lit(-1.0).alias("v"))), F.when(row > 0, F.struct((i - 1).alias("j"), F.lit(-1.0).alias("v"))),
-        F.when(i < SIDE * (SIDE - 1), F.struct((i + SIDE).alias("j"), F.lit(-1.0).alias("v"))), F.when(i >= SIDE, F.struct((i - SIDE).alias("j"), F.lit(-1.0).alias("v"))),
+        F.when(place < SIDE * (SIDE - 1), F.struct((i + SIDE).alias("j"), F.lit(-1.0).alias("v"))), F.when(place >= SIDE, F.struct((i - SIDE).alias("j"), F.lit(-1.0).alias("v"))),
     )
     return x, x.select("i", F.inline(F.filter(near, lambda s: s.isNotNull())))
 
 
 @query(f"WITH {FIVE_POINT} SELECT a.i, round(sum(a.v * x0.v), 4) AS v FROM a JOIN x0 ON x0.i = a.j GROUP BY 1")
 def spmv_coo(spark, d):
-    x, a = five_point(spark, d)
+    """Of the first image, as its SQL."""
+    x, a = five_point(spark, d, "image_id = 0")
     return m.spmv(a, x).select("i", r("v", 4).alias("v"))
 
 
 @query(f"WITH {FIVE_POINT}, s AS (SELECT a.i, sum(a.v * x0.v) AS ax FROM a JOIN x0 ON x0.i = a.j GROUP BY 1) SELECT x0.i, round(x0.v + (1 - ax) / 5, 6) AS v FROM x0 JOIN s ON s.i = x0.i")
 def jacobi_step(spark, d):
+    """Of the first image, as its SQL."""
+    x, a = five_point(spark, d, "image_id = 0")
+    return m.jacobi_step(a, x, x.withColumn("v", F.lit(1.0))).select("i", r("v").alias("v"))
+
+
+@query()
+def spmv_coo_all(spark, d):
+    x, a = five_point(spark, d)
+    return m.spmv(a, x).select("i", r("v", 4).alias("v"))
+
+
+@query()
+def jacobi_step_all(spark, d):
     x, a = five_point(spark, d)
     return m.jacobi_step(a, x, x.withColumn("v", F.lit(1.0))).select("i", r("v").alias("v"))
 
@@ -230,7 +252,7 @@ def dual_ball_project(spark, d):
 def simplex_project(spark, d):
     def run(batches):
         for b in batches:
-            u = va.to_simplex(np.array(b["features"].tolist(), float)[:, :8].T).T
+            u = va.to_simplex(np.array(b["features"].tolist(), float).T).T
             yield pd.DataFrame({"pos": b["pos"], "u": list(np.round(u, 6))})
 
     return features(spark, d).select("pos", "features").mapInPandas(run, "pos long, u array<double>")
