@@ -12,7 +12,11 @@ Texts are cut at single blanks first: no token of the vocabulary's splitting
 rule spans white space, so each piece can be encoded alone and its result kept
 in a cache of bounded size (a pure speed-up; a cold cache gives the same rows).
 
-Null text counts as empty: no tokens, and the digests of the empty string.
+Defined cases: null text counts as empty: no tokens, and the digests of the
+empty string. Equal texts get equal rows, repeated rows one each; a null id
+stays null beside any other. Texts of any length are read whole, a batch of them
+at a time. An empty table gives no rows. Columns beside id and text are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -264,12 +268,8 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
 def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 of every row of docs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = loaded(WordBpe, path)
-        for b in batches:
-            out = enc.digests(b["t"].tolist())
-            yield pd.DataFrame({"k": b["k"], "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(texts: pd.Series) -> pd.DataFrame:  # sees the text alone: a key goes through no batch of another type
+        return pd.DataFrame(loaded(WordBpe, path).digests(texts.tolist()), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+    return docs.select(F.col(key), run(F.coalesce(F.col(text), F.lit(""))).alias("__bpe")).select(key, "__bpe.*")

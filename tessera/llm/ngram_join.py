@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,14 +137,16 @@ def profile(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     __ng_set, __ng_n; and this task's part of the sketch, a row for each chunk."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["k", "h", "g", "s", "n", "chunk", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # Arrow: a key keeps its type beside a null
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        any_row = False
+        key_type = None
         for b in batches:
-            any_row = True
+            key_type = b.schema.field("k").type
             ids, sizes = [], []
             held, waiting = [], 0
-            for s in shingle_sets(b["t"].tolist(), width):
+            for s in shingle_sets(b.column("t").to_pylist(), width):
                 ids.append(set_id(s))
                 sizes.append(len(s))
                 held.append(s)
@@ -152,15 +155,15 @@ def profile(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     _count(sketch, held)
                     held, waiting = [], 0
             _count(sketch, held)
-            yield pd.DataFrame({"k": b["k"], "h": b["h"], "g": b["g"], "s": ids, "n": sizes, "chunk": pd.array([None] * len(b), "Int32"), "part": None})
-        if any_row:
+            own = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), b.column("g"), *own], names=names)
+        if key_type is not None:
             parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(-1, 1 << CHUNK_BITS)]
             m = len(parts)
-            none = pd.array([None] * m, "Int64")
-            yield pd.DataFrame({"k": pd.Series([None] * m, dtype=object), "h": none, "g": none, "s": none, "n": none, "chunk": pd.array(range(m), "Int32"), "part": parts})
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, key_type), *[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     rows = docs.select(F.col(key).alias("k"), *text_hashes(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInPandas(run, f"k {kind}, h long, g long, s long, n long, chunk int, part binary")
+    return rows.mapInArrow(run, f"k {kind}, h long, g long, s long, n long, chunk int, part binary")
 
 
 def text_hashes(text: Column) -> tuple[Column, Column]:
