@@ -6,19 +6,26 @@ described by how many pieces there are of each length: that histogram (at most
 ``capacity`` numbers, however many documents) is all the driver sees.
 
 1. Reduction: for a piece j let k be the most other pieces that fit beside it
-   (taking the smallest) and j* the largest that fits. A set of at most one
-   partner dominates every other feasible set with j, and is fixed for good, if
-   k = 0 ({j}); if k = 1 or j and j* fill the sequence ({j, j*}); or if k = 2
-   and j* is no shorter than the best fitting pair ({j, j*}).
+   (taking the smallest) and j* the largest that fits. A set of at most two
+   partners dominates every other feasible set with j, and is fixed for good, if
+   k = 0 ({j}); if k = 1 or j and j* fill the sequence ({j, j*}); if k = 2 and
+   j* is no shorter than the best fitting pair ({j, j*}); or if k = 2, b is the
+   largest that fits beside j and j*, and no two others longer than b fit beside
+   j ({j, j*, b}). Sweeps go on until one fixes nothing: what a later piece
+   takes may let an earlier one be fixed.
 2. What remains is packed best-fit, longest first, over groups of equal bins.
 
 A plan is a list of (pattern, how many sequences). Each length then has a run
 of slots, and the piece of rank r among its length takes slot r: ranks come
-from counts by (length, salt) and a row number inside each, so no task ever
-needs all pieces of a length.
-
-Null text is an empty document: its end token alone, one piece of length 1.
-Repeated rows are packed as often as they stand there.
+from counts by (length, salt), whose running sums are joined back, and a row
+number inside each. There are as many salts as it takes for about a million
+rows each, so no task ever needs all pieces of a length.
+
+Defined cases: null text is an empty document: its end token alone, one piece of
+length 1. Repeated rows are packed as often as they stand there; a null id stays
+null beside any other. Texts of any length are read whole, and cut when they
+have more tokens than a sequence. An empty table gives no rows. Columns beside
+id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +73,7 @@ class ByteBpe:
         ranks = {b: i for b, i in ranks.items() if i not in self.special.values()}
         self.encode_plain = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.split_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
+
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         text = text or ""
@@ -96,9 +105,10 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 class Lengths:
     """A multiset of lengths as counts."""
 
-    def __init__(self, counts: dict[int, int]):
+    def __init__(self, counts: dict[int, int], capacity: int):
         self.n = {w: c for w, c in counts.items() if c > 0}
         self.order = sorted(self.n)
+        self.capacity = capacity
 
     def take(self, w: int, c: int) -> None:
         self.n[w] -= c
@@ -128,6 +138,20 @@ class Lengths:
                 break
         return k
 
+    def triple(self, w: int) -> tuple[int, int] | None:
+        """(j*, b) if w, j* and b dominate every set with w, given that at most
+        two others fit beside w. A set with x and y beside w, x at least y, has x
+        no longer than j*; and y no longer than b, unless both are longer than b."""
+        room = self.capacity - w
+        a = self.largest_fit(room, w)
+        free = lambda x: self.n[x] - (x == w) - (x == a)
+        i = bisect.bisect_right(self.order, room - a)
+        b = next((x for x in reversed(self.order[:i]) if free(x) > 0), 0)
+        if not b:
+            return None
+        longer = [x for x in self.order[bisect.bisect_right(self.order, b) :] for _ in range(min(2, free(x)))][:2]
+        return None if len(longer) == 2 and sum(longer) <= room else (a, b)
+
     def best_pair(self, room: int, used: int) -> int:
         """The largest sum of two other pieces that fits into room."""
         best, lo, hi = 0, 0, len(self.order) - 1
@@ -144,30 +168,32 @@ class Lengths:
         return best
 
 
+def dominant(left: Lengths, w: int) -> tuple[int, ...] | None:
+    """A set with a piece of length w that dominates every other, if there is one."""
+    room = left.capacity - w
+    k, partner = left.most_fit(room, w), left.largest_fit(room, w)
+    if k == 0:
+        return (w,)
+    if k == 1 or partner == room or (k == 2 and partner >= left.best_pair(room, w)):
+        return w, partner
+    if k == 2 and (rest := left.triple(w)):
+        return w, *rest
+    return None
+
+
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[Plan, dict[int, int]]:
     """Sets that dominate, fixed; and the counts that remain."""
-    left, fixed = Lengths(counts), []
-    for w in sorted(counts, reverse=True):
-        while left.n.get(w, 0):
-            room = capacity - w
-            partner, k = left.largest_fit(room, w), left.most_fit(room, w)
-            if k == 0:
-                times = left.n[w] if not partner else 1
-                fixed.append((((w, 1),), times))
-                left.take(w, times)
-            elif k == 1 or partner == room or (k == 2 and partner >= left.best_pair(room, w)):
-                if partner == w:
-                    times = left.n[w] // 2
-                    fixed.append((((w, 2),), times))
-                    left.take(w, 2 * times)
-                else:
-                    # the conditions hold on while both lengths last: other pieces only get scarcer
-                    times = min(left.n[w], left.n[partner])
-                    fixed.append((((w, 1), (partner, 1)), times))
-                    left.take(w, times)
-                    left.take(partner, times)
-            else:
-                break
+    left, fixed, before = Lengths(counts, capacity), [], -1
+    while len(fixed) != before:
+        before = len(fixed)
+        for w in sorted(left.n, reverse=True):
+            while left.n.get(w, 0) and (own := dominant(left, w)):
+                need = {x: own.count(x) for x in own}
+                # the conditions hold on while all these lengths last: other pieces only get scarcer
+                times = min(left.n[x] // t for x, t in need.items())
+                fixed.append((tuple(need.items()), times))
+                for x, t in need.items():
+                    left.take(x, t * times)
     return fixed, dict(left.n)
 
 
@@ -230,61 +256,58 @@ def slots_of(plan: Plan) -> dict[int, list[np.ndarray]]:
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: key, piece, start, length, ids_crc32 (and ids)."""
-    kind = docs.schema[key].dataType.simpleString()
+    columns = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # Arrow: a key keeps its type beside a null
         enc, end = loaded(ByteBpe, path), end_id.to_bytes(4, "little")
         for b in batches:
-            rows, keys = [], []
-            for i, t in zip(b["k"], b["t"], strict=True):
+            rows, of = [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
                 whole = enc.ids(t) + end
                 for k, (s, n) in enumerate(cut(len(whole) // 4, capacity)):
                     own = whole[4 * s : 4 * (s + n)]
-                    keys.append(i)
-                    rows.append((k, s, n, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(np.int32)] * with_ids)))
-            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-            out.insert(0, "k", pd.Series(keys, dtype=b["k"].dtype))
-            yield out
+                    of.append(i)
+                    rows.append((k, s, n, zlib.crc32(own), *([np.frombuffer(own, "<i4")] * with_ids)))
+            values = [pa.array([r[j] for r in rows], t) for j, t in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(of, pa.int64())), *values], names=["k", *columns])
 
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInPandas(run, f"k {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids).withColumnRenamed("k", key)
+    schema = f"k {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 1_000_000) -> DataFrame:
     """pieces (with length and anything else) with sequence_id and offset.
 
-    pieces must give the same rows whenever it is read: a written table."""
+    pieces must give the same rows whenever it is read: a written table. The
+    driver gets how many there are of each length, at most capacity rows."""
     total = pieces.count()
-    salts = max(16, min(512, -(-total // rows_per_salt)))
+    salts = max(16, -(-total // rows_per_salt))
     key = [c for c in pieces.columns if not c.startswith("_") and c != "ids"]
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").count().collect()  # at most capacity * salts rows
-    by_length: dict[int, int] = {}
-    base: dict[int, np.ndarray] = {}
-    for w, salt, c in counts:
-        by_length[w] = by_length.get(w, 0) + c
-        base.setdefault(w, np.zeros(salts, np.int64))[salt] = c
-    base = {w: np.cumsum(c) - c for w, c in base.items()}
+    counts = materialise(salted.groupBy("length", "_salt").count(), "counts")
+    by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots = slots_of(plan_sequences(by_length, capacity))
+    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     order = Window.partitionBy("length", "_salt").orderBy(*[F.col(c) for c in key])
-    ranked = salted.withColumn("_rank", F.row_number().over(order) - 1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            w, rank = b["length"].to_numpy(), b["_rank"].to_numpy().astype(np.int64)
-            seq, off = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for length in np.unique(w):
-                at = np.flatnonzero(w == length)
-                r = rank[at] + base[length][b["_salt"].to_numpy()[at]]
-                first, sequence, offset, times = slots[length]
-                j = np.searchsorted(first, r, "right") - 1
-                r = r - first[j]
-                seq[at] = sequence[j] + r // times[j]
-                off[at] = offset[j] + (r % times[j]) * length
-            yield b.drop(columns=["_salt", "_rank"]).assign(sequence_id=seq, offset=off)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(run, f"{kinds}, sequence_id long, offset long")
+    ranked = salted.withColumn("_rank", F.row_number().over(order) - 1).join(base, ["length", "_salt"])
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def placed(w: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        w, rank = w.to_numpy(), rank.to_numpy()
+        seq, off = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+        for length in np.unique(w):
+            at = np.flatnonzero(w == length)
+            first, sequence, offset, times = slots[length]
+            j = np.searchsorted(first, rank[at], "right") - 1
+            r = rank[at] - first[j]
+            seq[at] = sequence[j] + r // times[j]
+            off[at] = offset[j] + (r % times[j]) * length
+        return pd.DataFrame({"sequence_id": seq, "offset": off})
+
+    place = placed(F.col("length"), (F.col("_rank") + F.col("_base")).cast("long"))
+    return ranked.withColumn("_at", place).select(*pieces.columns, "_at.sequence_id", "_at.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
