@@ -46,12 +46,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and a
-    lost executor costs a re-read instead of a recomputation."""
+    lost executor costs a re-read instead of a recomputation. paths gets the
+    folder, for a caller that removes it when its result no longer needs it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,6 +70,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders and empties the list."""
+    while paths:
+        remove_path(spark, paths.pop())
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
