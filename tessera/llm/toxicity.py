@@ -15,9 +15,14 @@ rows give each feature its share of toxic and of clean documents; its evidence
 is the log ratio of the two where a likelihood ratio test is sure of it. A logistic regression on a document's strongest and summed evidence,
 fitted on evidence that leaves out the document's own fold, gives the score.
 
-Nothing but the text enters a score. Null, empty and unworded texts have no
-evidence and the score that goes with that. Equal texts score alike, whatever
-their row or partition.
+Nothing but the text enters a score.
+
+Defined cases: null, empty and unworded texts have no evidence and the score
+that goes with that. Equal texts score alike, whatever their row or partition;
+repeated rows are scored one each. Texts, tokens and words of any length are
+read whole. A null id is never held out, and has no label. Without rows, or
+without labels of both kinds, nothing is toxic. Columns of the table that are
+named score, predicted or held_out are replaced; others stay as they are.
 """
 
 from __future__ import annotations
@@ -25,15 +30,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove_paths
 
 #: Letters that a sign may stand for (fixed values).
 LOOKS_LIKE = {
@@ -44,7 +50,6 @@ LM_CELLS = 1 << 16  # of a dense table
 WIDE = 1 << 60  # so many cells that grams don't share one; only those that occur are held
 ORDER = 4
 
-TOKEN = re.compile(r"\S+")
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$!|+*#") + "«»„“”‘’…–—"
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][\s.\-_*]{1,2}){3,}[^\W_](?![^\W_])")
 SET_APART = re.compile(r"([^\W_])([\s.\-_*]*)")
@@ -63,7 +68,7 @@ def ngram_counts(docs: DataFrame, text: str) -> DataFrame:
         for b in batches:
             for t in b["t"]:
                 words.update(t.lower().split())
-            if len(words) > 200_000:
+            if len(words) > 300_000:
                 yield _ngrams(words, WIDE)
                 words = Counter()
         if words:
@@ -82,28 +87,37 @@ def _ngrams(words: Counter[str], cells: int = LM_CELLS) -> pd.DataFrame:
     found = []
     if plain:
         text = "\n" + "\n".join(plain) + "\n"
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        alphabet, letter = np.unique(code, return_inverse=True)
         weight = np.repeat(np.array(list(plain.values())), [len(w) + 1 for w in plain])
-        weight = np.concatenate([weight, [0]])  # the end mark counts with its word
-        weight = np.concatenate([[0], weight])[: len(code)]
+        weight = np.concatenate([[0], weight])[: len(code)]  # the end mark counts with its word
         for k in range(1, ORDER + 1):
-            h, ok = gram_hashes(code, k, cells)
-            at, of = np.unique(h[ok], return_inverse=True)
-            found.append(pd.DataFrame({"cell": at + (k - 1) * cells, "n": np.bincount(of, weight[k - 1 :][ok], len(at)).astype(np.int64)}))
+            n, size = len(code) - k + 1, len(alphabet) ** k
+            gram, ok = np.zeros(n, np.int64), np.ones(n, bool)
+            for j in range(k):
+                gram = gram * len(alphabet) + letter[j : j + n]
+                if 0 < j < k - 1:
+                    ok &= code[j : j + n] != 10
+            if size <= 1 << 23:  # as many cells as grams there can be
+                sums = np.bincount(gram[ok], weight[k - 1 :][ok], size)
+                at = np.flatnonzero(sums)
+                sums = sums[at]
+            else:
+                at, of = np.unique(gram[ok], return_inverse=True)
+                sums = np.bincount(of, weight[k - 1 :][ok], len(at))
+            spelt = np.stack([alphabet[at // len(alphabet) ** (k - 1 - j) % len(alphabet)] for j in range(k)])
+            found.append(pd.DataFrame({"cell": gram_cells(spelt.astype(np.uint64), cells) + (k - 1) * cells, "n": sums.astype(np.int64)}))
     out = pd.concat(found, ignore_index=True) if found else pd.DataFrame({"cell": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-    return out[out["n"] > 0]
+    return out[out["n"] > 0].groupby("cell", as_index=False).sum()
 
 
-def gram_hashes(code: np.ndarray, k: int, cells: int = LM_CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the k-grams of code points; and which of them hold no boundary but at the ends."""
-    n = len(code) - k + 1
-    h, ok = np.full(n, k, np.uint64), np.ones(n, bool)
-    for j in range(k):
-        h = (h ^ code[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+def gram_cells(letters: np.ndarray, cells: int = LM_CELLS) -> np.ndarray:
+    """Cells of grams of k code points, given as k rows."""
+    h = np.full(letters.shape[1], len(letters), np.uint64)
+    for row in letters:
+        h = (h ^ row) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-        if 0 < j < k - 1:
-            ok &= code[j : j + n] != 10
-    return (h % np.uint64(cells)).astype(np.int64), ok
+    return (h % np.uint64(cells)).astype(np.int64)
 
 
 class CharModel:
@@ -233,39 +247,57 @@ class Restorer:
         self.model = model
         self.kept: dict[str, tuple[str, ...]] = {}
 
-    def readings(self, token: str) -> tuple[str, ...]:
+    def read(self, token: str) -> tuple[str, ...]:
         """A lower-cased token without the signs at its ends, deobfuscated if it
         needs to be; then also the words that its separators part."""
+        plain = bare(token)
+        if not (plain and not plain.isalpha() and SIGN_IN_WORD.search(plain) or THRICE.search(plain)):
+            return (plain,)
+        words = (decode(plain, self.model),)
+        if any(not c.isalpha() and c not in LOOKS_LIKE for c in plain):
+            words += tuple(best_path(lattice(plain, breaks=True), self.model).split("\n"))
+        return words
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        """read, kept for tokens that come again."""
         if (w := self.kept.get(token)) is None:
             if len(self.kept) > 100_000:
                 self.kept.clear()
-            plain = bare(token)
-            w = (plain,)
-            if plain and not plain.isalpha() and SIGN_IN_WORD.search(plain) or THRICE.search(plain):
-                w = (decode(plain, self.model),)
-                if any(not c.isalpha() and c not in LOOKS_LIKE for c in plain):
-                    w += tuple(best_path(lattice(plain, breaks=True), self.model).split("\n"))
-            self.kept[token] = w
+            w = self.kept[token] = self.read(token)
         return w
 
-    def words(self, text: str | None) -> set[str]:
-        low = (text or "").lower()
-        found = {w for t in set(low.split()) for w in self.readings(t)}
+    def run_words(self, low: str) -> set[str]:
+        """Of letters set apart in a lower-cased text: joined, then the signs among them read; as one word and as several."""
+        found: set[str] = set()
         for m in SPACED.finditer(low):
-            # letters set apart: join them, then read the signs among them; as one word and as several
             joined = decode("".join(c for c in m[0] if not c.isspace()), self.model)
             found.update((joined, joined[1:], joined[:-1]))  # a one-letter word may stand beside it
             found.update(best_path(spaced_lattice(m[0]), self.model).split("\n"))
         found.discard("")
         return found
 
+    def words(self, text: str | None) -> set[str]:
+        low = (text or "").lower()
+        found = {w for t in set(low.split()) for w in self.readings(t)} | self.run_words(low)
+        found.discard("")
+        return found
+
 
 # ---- the scorer ----
 
 
-def features(word: str) -> list[int]:
-    """Hashes of a word as a whole and of its beginnings of 4 and 5 letters."""
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) - (1 << 31) for x in ("=" + word, *(f"{k}:{word[:k]}" for k in (4, 5) if len(word) >= k))]
+def hashed(x: str) -> int:
+    return zlib.crc32(x.encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
+@lru_cache(maxsize=1 << 16)
+def beginnings(start: str) -> tuple[int, ...]:
+    return tuple(hashed(f"{k}:{start[:k]}") for k in (4, 5) if len(start) >= k)
+
+
+def features(word: str) -> tuple[int, ...]:
+    """Hashes of a word as a whole and of its beginnings of 4 and 5 letters; none of an empty one."""
+    return (hashed("=" + word), *beginnings(word[:5])) if word else ()
 
 
 @dataclass
@@ -273,21 +305,44 @@ class Scorer:
     evidence: dict[int, float]  # by feature
     weights: np.ndarray  # of bias, strongest, sum
 
-    def __post_init__(self):
-        self.kept: dict[str, list[int]] = {}
+    def score(self, marks: set[int]) -> float:
+        """From the features of a text that speak for toxicity."""
+        x = self.weights @ summed(np.array([self.evidence[c] for c in sorted(marks)]))
+        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
-    def marks(self, word: str) -> list[int]:
-        """The features of a word that speak for toxicity."""
-        if (f := self.kept.get(word)) is None:
-            if len(self.kept) > 200_000:
-                self.kept.clear()
-            f = self.kept[word] = [c for c in features(word) if c in self.evidence]
-        return f
 
-    def score(self, words: set[str]) -> float:
-        found = sorted({c for w in words for c in self.marks(w)})
-        x = self.weights @ summed(np.array([self.evidence[c] for c in found]))
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+class Reader:
+    """Scores many texts. Most tokens have nothing to say: those met are held in
+    two sets, the older of which goes when the younger is full."""
+
+    def __init__(self, restorer: Restorer, scorer: Scorer, most: int = 250_000):
+        self.restorer, self.scorer, self.most = restorer, scorer, most
+        self.silent: set[str] = set()
+        self.older: set[str] = set()
+        self.loud: set[str] = set()
+        self.marks_of: dict[str, list[int]] = {}
+        self.none = scorer.score(set())
+
+    def marks(self, words: Iterable[str]) -> list[int]:
+        return [c for w in words for c in features(w) if c in self.scorer.evidence]
+
+    def score(self, text: str | None) -> float:
+        low = (text or "").lower()
+        tokens = set(low.split())
+        for t in tokens - self.silent - self.older - self.loud:
+            if found := self.marks(self.restorer.read(t)):
+                self.loud.add(t)
+                self.marks_of[t] = found
+            else:
+                self.silent.add(t)
+        found = {c for t in tokens & self.loud for c in self.marks_of[t]}
+        if runs := self.restorer.run_words(low):
+            found.update(self.marks(runs))
+        if len(self.silent) > self.most:
+            self.older, self.silent = self.silent, set()
+        if len(self.loud) > self.most:
+            self.loud, self.marks_of = set(), {}
+        return self.scorer.score(found) if found else self.none
 
 
 def summed(found: np.ndarray) -> np.ndarray:
@@ -338,14 +393,15 @@ def language_model(docs: DataFrame, text: str = "text") -> CharModel:
 FOLDS = 4
 
 
-def train(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, most_features: int = 100_000, sure: float = 4.5) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, sure: float = 4.5) -> Scorer:
     """A scorer from a sample of about most_rows labelled rows: those whose
     text's hash is below a threshold. A text that is labelled both ways counts
     as toxic. Texts that agree in two smallest hashes of their words (copies and
     most near copies) count once, and folds keep those with equal ones together.
 
-    The driver gets the most_features strongest features, and three numbers for
-    each sampled text."""
+    The driver gets the features that the test is sure of, which the sample
+    bounds (each needs several toxic texts of it), and three numbers for each
+    sampled text."""
     marked = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     share = min(1.0, most_rows / max(1, marked.count()))
     near = F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20))
@@ -370,7 +426,8 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "doc_
 
     rows = rows.mapInPandas(words_of, "y int, low int, high int, f array<int>")
     rows = rows.groupBy("low", "high").agg(F.max("y").alias("y"), F.min("f").alias("f")).withColumn("fold", F.pmod("low", F.lit(FOLDS)))
-    rows = materialise(rows, "labelled")
+    paths: list[str] = []
+    rows = materialise(rows, "labelled", paths)
     sizes = np.zeros((FOLDS, 2))
     for f, y, n in rows.groupBy("fold", "y").count().collect():
         sizes[f, y] = n
@@ -390,7 +447,7 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "doc_
 
     columns = ["e", *(f"e{k}" for k in range(FOLDS))]
     found = counts.mapInPandas(weigh, "f int, " + ", ".join(f"{c} double" for c in columns))
-    found = found.orderBy(F.greatest(*columns).desc(), "f").limit(most_features).toPandas()
+    found = found.toPandas()
     known = {c: {int(f): float(e) for f, e in zip(found["f"], found[c], strict=True) if e > 0} for c in columns}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -403,6 +460,7 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "doc_
             yield pd.DataFrame({"y": b["y"], "x1": [r[1] for r in x], "x2": [r[2] for r in x]})
 
     sample = rows.mapInPandas(seen, "y int, x1 double, x2 double").toPandas().sort_values(["y", "x1", "x2"])
+    remove_paths(docs.sparkSession, paths)
     y = sample["y"].to_numpy()
     x = np.column_stack([np.ones(len(y)), sample[["x1", "x2"]].to_numpy()])
     return Scorer(known["e"], logistic(x, y) if 0 < y.sum() < len(y) else np.array([-5.0, 1.0, 0.0]))
@@ -420,9 +478,9 @@ def score_texts(docs: DataFrame, scorer: Scorer, model: CharModel, text: str = "
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         evidence, weights, counts, keys = shared.value
-        restorer, own = Restorer(CharModel(counts, keys)), Scorer(evidence, weights)
+        reader = Reader(Restorer(CharModel(counts, keys)), Scorer(evidence, weights))
         for texts in batches:
-            yield texts.map(lambda t: own.score(restorer.words(t))).astype("float64")
+            yield texts.map(reader.score).astype("float64")
 
     return docs.withColumn(score, run(F.coalesce(F.col(text), F.lit(""))))
 
