@@ -7,13 +7,19 @@ and merges of runs need no shuffle. A new batch of documents is counted,
 merge-anti-joined with the runs of keys already known to be common (their
 lines go whatever else comes) and added as a run of level 0. When a level has
 ``fanout`` runs they are merged into one of the next level, and keys that have
-reached ``min_docs`` move to the run of common keys.
+reached ``min_docs`` move to the run of common keys. Documents that come as one
+table are dealt to batches by a hash of their text.
+
+The common keys are written out before lines are held against them: where they
+are few (counted) each task gets all of them, else the join is by sorted hashes,
+and one very frequent line is split by Spark's skew join.
 
 Defined cases: null and empty texts have one empty line; an empty key, or one
 of fewer than ``min_chars`` code points, is never dropped. A row is a document,
 so repeated rows count each. An empty table has no common keys. A text that
-loses all lines becomes empty. Columns beside the text stay as they are;
-working columns start with ``__line_``.
+loses all lines becomes empty. A text may be long and lose many of its lines:
+its lost keys are looked up in groups by hash. Columns beside the text stay as
+they are; working columns start with ``__line_``.
 """
 
 from __future__ import annotations
@@ -24,9 +30,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, fresh_path, remove_path, shuffle_partitions
+from .common import ASCII_SPACE, ascii_lower, fresh_path, materialise, remove_path, shuffle_partitions
 
 KEY = ("__line_a", "__line_b")
+#: So many common keys, of 16 bytes each, are sent to every task.
+FEW = 500_000
 
 
 def lines_of(text: Column) -> Column:
@@ -79,7 +87,9 @@ class LineRuns:
         keys = docs.select(F.inline(hashes_of(F.col(text), self.min_chars)))
         fresh = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
         for run in self.common:
-            fresh = fresh.join(self.spark.table(run).hint("merge"), list(KEY), "left_anti")
+            # as an outer join: Spark moves an anti-join below the counts, where one frequent line is many rows
+            known = self.spark.table(run).withColumn("__line_known", F.lit(True)).hint("merge")
+            fresh = fresh.join(known, list(KEY), "left").where("__line_known IS NULL").drop("__line_known")
         self.levels[0].append(self._write(fresh))
         self._compact()
 
@@ -104,6 +114,12 @@ class LineRuns:
             out = out.unionByName(self.spark.table(run))
         return out.distinct()  # a key that became common in one level may have grown anew in another
 
+    def close(self) -> None:
+        """Removes the runs."""
+        for run in (*(r for runs in self.levels for r in runs), *self.common):
+            self._drop(run)
+        self.levels, self.common = [[]], []
+
 
 def drop_lines(docs: DataFrame, common: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
     """docs without the lines whose key is in common, and with __line_n and
@@ -114,10 +130,21 @@ def drop_lines(docs: DataFrame, common: DataFrame, text: str = "text", min_chars
     own = (F.xxhash64(F.col(text)).alias("__line_t"), F.xxhash64(F.lit(7), F.col(text)).alias("__line_u"))
     found = docs.select(*own, F.inline(hashes_of(F.col(text), min_chars)))
     found = found.join(common, list(KEY), "left_semi")
-    gone = found.groupBy("__line_t", "__line_u").agg(F.collect_set(KEY[0]).alias("__line_gone"))
+    # written: a join of plain tables is one that Spark can split where many texts are equal
+    gone = materialise(found.groupBy("__line_t", "__line_u").agg(F.collect_set(KEY[0]).alias("__line_gone")), "line-gone")
     rows = docs.select("*", *own).join(gone, ["__line_t", "__line_u"], "left").drop("__line_t", "__line_u")
     lines = lines_of(F.col(text))
-    kept = F.filter(lines, lambda x: ~(F.array_contains(F.col("__line_gone"), F.xxhash64(key_of(x))) & (F.char_length(key_of(x)) >= min_chars)))
+    # n lines against m lost keys: groups of keys, as many as the root of n, so that a line meets one of them only
+    groups = F.when(F.size("__line_gone") > 32, F.ceil(F.sqrt(F.size(lines).cast("double")))).otherwise(1).cast("int")
+    rows = rows.withColumn("__line_groups", groups)
+    dealt = F.transform(F.sequence(F.lit(0), F.col("__line_groups") - 1), lambda k: F.filter("__line_gone", lambda h: F.pmod(h, F.col("__line_groups")) == k))
+    rows = rows.withColumn("__line_gone", F.when(F.col("__line_gone").isNotNull(), dealt))
+
+    def lost(line: Column) -> Column:
+        h = F.xxhash64(key_of(line))
+        return F.array_contains(F.get("__line_gone", F.pmod(h, F.col("__line_groups")).cast("int")), h) & (F.char_length(key_of(line)) >= min_chars)
+
+    kept = F.filter(lines, lambda x: ~lost(x))
     hit = F.col("__line_gone").isNotNull()
     rows = rows.withColumn("__line_kept", F.when(hit, kept))
     n = F.size(lines).cast("long")
@@ -125,21 +152,32 @@ def drop_lines(docs: DataFrame, common: DataFrame, text: str = "text", min_chars
         rows.withColumn("__line_n", n)
         .withColumn("__line_dropped", F.when(hit, n - F.size("__line_kept")).otherwise(F.lit(0)).cast("long"))
         .withColumn(text, F.when(hit, F.array_join("__line_kept", "\n")).otherwise(F.col(text)))
-        .drop("__line_gone", "__line_kept")
+        .drop("__line_gone", "__line_kept", "__line_groups")
     )
 
 
 def file_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """A table read from files as up to that many tables, each file in one of them."""
+    """A table read from files, and nothing else done to it, as that many tables
+    of files; by a hash of the text if there are fewer files."""
     files = sorted(docs.inputFiles())
-    groups = [g for k in range(batches) if (g := files[k::batches])]
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*g) for g in groups] or [docs]
+    if len(files) < batches:
+        return hash_batches(docs, batches)
+    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[k::batches]) for k in range(batches)]
+
+
+def hash_batches(docs: DataFrame, batches: int, text: str = "text") -> list[DataFrame]:
+    """Any table as that many, by a hash of the text."""
+    return [docs.where(F.pmod(F.xxhash64(text), F.lit(batches)) == k) for k in range(batches)]
 
 
-def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, text: str = "text", min_docs: int = 10, min_chars: int = 1, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: list[DataFrame] | int = 4, text: str = "text", min_docs: int = 10, min_chars: int = 1, fanout: int = 2) -> DataFrame:
     """docs without the lines found in at least min_docs documents. batches are
-    the documents in the order in which they came (None: all at once)."""
+    the documents in the order in which they came, or how many to deal them to."""
     runs = LineRuns(docs.sparkSession, min_docs, min_chars, fanout)
-    for batch in batches or [docs]:
+    for batch in hash_batches(docs, batches, text) if isinstance(batches, int) else batches:
         runs.add(batch, text)
-    return drop_lines(docs, runs.common_keys(), text, min_chars)
+    common = materialise(runs.common_keys(), "line-common")
+    runs.close()
+    if common.count() <= FEW:
+        common = F.broadcast(common)
+    return drop_lines(docs, common, text, min_chars)
