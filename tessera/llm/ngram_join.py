@@ -17,9 +17,11 @@ Only links that join different components matter, and most groups of near copies
 have a text that the others were made from. In a first round, every prefix
 shingle takes as its pivot the set in which it comes earliest (an original has
 few shingles of its own before it) and pairs the others with that: as many
-pairs as postings, not their square. The second round takes all pairs left that
-share a prefix shingle and stand in different components, which makes the
-components exact.
+pairs as postings, not their square. More such rounds follow, with pivots by a
+hash, while they find links and the pairs left are many more than the postings.
+The last round takes all pairs left that share a prefix shingle and stand in
+different components, which makes the components exact; a shingle that many
+such sets share is dealt in blocks, of which any two meet in a task of their own.
 
 Defined cases: null text and text without words have an empty set, size 0, and
 link with nothing; with fewer than ``width`` words the whole sequence is one
@@ -40,9 +42,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove_path, remove_paths
 
 SKETCH_BITS, CHUNK_BITS = 22, 16
+#: So many sets that share a shingle meet in one task of the last round.
+BLOCK = 2000
 #: Size of the bitmap of shingles that occur in several prefixes: 8 MB.
 BITMAP_BITS = 26
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -347,10 +351,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def needed_sets(docs: DataFrame, profiles: DataFrame, ids: DataFrame, text: str, width: int, small: int = 1_000_000) -> DataFrame:
+def needed_sets(docs: DataFrame, profiles: DataFrame, ids: DataFrame, text: str, width: int, paths: list[str], small: int = 1_000_000) -> DataFrame:
     """s and its members for the given ids, from one text of each."""
-    texts = profiles.join(ids, "s", "left_semi").groupBy("s").agg(F.min(F.struct("h", "g")).alias("t")).select("t.h", "t.g")
-    texts = materialise(texts, "texts")
+    # ids are distinct: an inner join stays above the aggregate, so a set of many copies is one row by then
+    texts = profiles.groupBy("s").agg(F.min(F.struct("h", "g")).alias("t")).join(ids, "s").select("t.h", "t.g")
+    texts = materialise(texts, "texts", paths)
     if texts.count() <= small:  # 16 bytes each
         texts = F.broadcast(texts)
     rows = docs.select(*text_hashes(F.col(text)), F.col(text).alias("t")).join(texts, ["h", "g"], "left_semi").select("t")
@@ -377,9 +382,10 @@ def needed_sets(docs: DataFrame, profiles: DataFrame, ids: DataFrame, text: str,
 # ---- components ----
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, paths: list[str], a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
     """(node, comp) for every node of edges, comp the smallest node of its
     component: alternating large and small stars, each round written out."""
+    spark, written = edges.sparkSession, []
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     before = None
@@ -392,56 +398,85 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("x"), F.col("a").alias("y"), "m")
         small = small.select(F.explode(F.array("x", "y")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        now = materialise(small, "stars")
+        now = materialise(small, "stars", written)
+        if len(written) > 1:
+            remove_path(spark, written.pop(0))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError("components did not settle")
+    paths += written
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
-def class_components(docs: DataFrame, profiles: DataFrame, text: str, width: int, percent: int, sketch) -> DataFrame | None:
+def live_pairs(shared: DataFrame, bounds: DataFrame, paths: list[str]) -> DataFrame:
+    """All joined postings x and y of a shingle in different components. Tokens of
+    more than BLOCK postings are dealt to blocks, each of which meets each."""
+    live = shared.drop("r").join(bounds.select("token"), "token", "left_semi")
+    live = materialise(with_shared_rank(live), "live", paths)
+    apart = "x.s < y.s AND x.comp <> y.comp"
+    many = live.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    many = materialise(many, "many", paths)
+    if many.isEmpty():
+        return live.alias("x").join(live.alias("y"), "token").where(apart)
+    few = live.join(many, "token", "left_anti")
+    dealt = live.join(many, "token").withColumn("own", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = dealt.select("token", F.col("own").alias("i"), F.col("other").alias("j"), "s", "np", "r", "comp")
+    y = dealt.select("token", F.col("other").alias("i"), F.col("own").alias("j"), "s", "np", "r", "comp")
+    met = x.alias("x").join(y.alias("y"), ["token", "i", "j"]).where(apart).drop("i", "j")
+    both = [F.struct(*[F.col(f"{side}.{c}") for c in ("s", "np", "r", "comp")]).alias(side) for side in "xy"]
+    return few.alias("x").join(few.alias("y"), "token").where(apart).select(*both).unionByName(met.select(*both))
+
+
+def class_components(docs: DataFrame, profiles: DataFrame, text: str, width: int, percent: int, sketch, paths: list[str], pivots: int = 5) -> DataFrame | None:
     """(s, comp) of the sets that link with another; None if there is none."""
     often = prefixes(docs, text, sketch, width, percent).select("token").groupBy("token").count().where("count > 1").select("token")
-    often = materialise(often, "often")
+    often = materialise(often, "often", paths)
     only = docs.sparkSession.sparkContext.broadcast(bitmap_of(often))
     shared = prefixes(docs, text, sketch, width, percent, only).join(often, "token", "left_semi").dropDuplicates(["token", "s"])
-    shared = materialise(with_shared_rank(shared.withColumn("comp", F.col("s"))), "postings")
-    found: DataFrame | None = None
-    sets: DataFrame | None = None
-    for last in (False, True):
-        first = F.struct(F.col("np").bitwiseAND(0xFFFFFFFF).alias("at"), "s")
-        bounds = shared.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("s", "np", "r", "comp"), first).alias("pivot"))
-        bounds = bounds.where("lo <> hi")
+    shared = materialise(with_shared_rank(shared.withColumn("comp", F.col("s"))), "postings", paths)
+    found = sets = tried = labels = None
+    turn, last = 0, False
+    while True:
+        first = F.struct(F.col("np").bitwiseAND(0xFFFFFFFF).alias("at"), "s") if not turn else F.struct(F.xxhash64(F.lit(turn), "s").alias("at"), "s")
+        bounds = shared.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("s", "np", "r", "comp"), first).alias("pivot"))
+        bounds = materialise(bounds.where("lo <> hi"), "bounds", paths)  # a plain table: joins with it can be split where a token is frequent
+        if turn:  # pairs that the last round would make, against postings
+            load, rows = bounds.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
+            last = last or turn >= pivots or (load or 0) <= 32 * (rows or 0)
         if not last:
             pairs = paired(bounds.select("token", "pivot.*").alias("x").join(shared.alias("y"), "token").where("x.comp <> y.comp"), percent)
         else:
-            live = shared.drop("r").join(bounds.select("token"), "token", "left_semi")
-            live = materialise(with_shared_rank(live), "live")
-            pairs = paired(live.alias("x").join(live.alias("y"), "token").where("x.s < y.s AND x.comp <> y.comp"), percent)
+            pairs = paired(live_pairs(shared, bounds, paths), percent)
             n, m = F.shiftright("i", 32), F.shiftright("j", 32)
             rest = F.least(n - F.col("i").bitwiseAND(0xFFFFFFFF), m - F.col("j").bitwiseAND(0xFFFFFFFF)) - 1
-            pairs = pairs.where(F.col("c") + rest >= needed_overlap(n, m, percent)).join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs.select("a", "b"), "pairs")
-        tried = pairs
-        if pairs.isEmpty():
-            continue
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("s"), "s", "left_anti")
-        fresh = materialise(needed_sets(docs, profiles, ends, text, width), "sets")
-        sets = fresh if sets is None else sets.unionByName(fresh)
-        good = materialise(verified(pairs, sets, percent), "links")
-        if good.isEmpty():
-            continue
-        found = good if found is None else found.unionByName(good)
-        labels = components(found)
-        if not last:
+            pairs = pairs.where(F.col("c") + rest >= needed_overlap(n, m, percent))
+        pairs = pairs.select("a", "b")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs", paths)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        fruitless = pairs.isEmpty()
+        if not fruitless:
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+            if sets is not None:  # not an anti-join, which Spark would move below the distinct
+                ends = ends.join(sets.select("s", F.lit(True).alias("held")), "s", "left").where("held IS NULL").select("s")
+            fresh = materialise(needed_sets(docs, profiles, ends, text, width, paths), "sets", paths)
+            sets = fresh if sets is None else sets.unionByName(fresh)
+            good = materialise(verified(pairs, sets, percent), "links", paths)
+            fruitless = good.isEmpty()
+        if not fruitless:
+            found = good if found is None else found.unionByName(good)
+            labels = components(found, paths)
+        if last:
+            break
+        if not fruitless:
             shared = shared.drop("comp").join(labels.select(F.col("node").alias("s"), "comp"), "s", "left")
-            shared = materialise(shared.select("token", "s", "np", "r", F.coalesce("comp", "s").alias("comp")), "postings")
-    return None if found is None else labels.select(F.col("node").alias("s"), "comp")
+            shared = materialise(shared.select("token", "s", "np", "r", F.coalesce("comp", "s").alias("comp")), "postings", paths)
+        turn, last = turn + 1, fruitless
+    return None if labels is None else labels.select(F.col("node").alias("s"), "comp")
 
 
 def _joined(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -450,14 +485,17 @@ def _joined(docs: DataFrame, key: str, text: str, width: int, percent: int) -> t
     rows = materialise(profile(docs, key, text, width), "profile")
     profiles = rows.where("chunk IS NULL").drop("chunk", "part")
     sketch = spark.sparkContext.broadcast(merged_sketch(rows))
-    labels = class_components(docs, profiles, text, width, percent, sketch)
+    paths: list[str] = []  # of what only leads to the result
+    labels = class_components(docs, profiles, text, width, percent, sketch, paths)
     classes = profiles.where("n > 0").groupBy("s").agg(F.min("k").alias("k"))
     if labels is None:
         named = classes.select("s", F.col("s").alias("group"), F.col("k").alias("comp_id"))
     else:
         classes = classes.join(labels, "s", "left").select("s", F.coalesce("comp", "s").alias("group"), "k")
         named = classes.select("s", "group").join(classes.groupBy("group").agg(F.min("k").alias("comp_id")), "group")
-    return profiles, materialise(named, "components")
+    named = materialise(named, "components")
+    remove_paths(spark, paths)
+    return profiles, named
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
