@@ -3,17 +3,27 @@
 Two smoothed variable-order Markov models, of accepted and of rejected URLs,
 give each character a probability from the longest context they know,
 interpolated down to a uniform one. A URL is rejected if its log-likelihood
-difference per character exceeds a threshold, calibrated on all labelled URLs:
-the one that best separates the two classes (balanced accuracy), halfway to
-the next score.
+difference per character exceeds a threshold: the one that best separates the
+two classes (balanced accuracy), halfway to the next score, over all labelled
+URLs. Hosts are dealt to folds, and each URL is scored for this by models that
+have seen no URL of its host's fold; so the threshold holds for unknown hosts.
+
+Labels are a column of the table, where there is one. Without, hosts that hold
+one of a list of words (a parameter) count as rejected and all others as
+accepted: a weak source, from which the models learn what such URLs look like.
 
 Counts are kept by 64-bit hashes of the grams that occur, over every labelled
-URL; the driver gets one key and two counts for each distinct gram, so that no
-two grams share a cell however many there are, and two histograms.
+URL; the driver gets a key and a count for each distinct gram, class and fold,
+so that no two grams share a cell however many there are, and two histograms.
 
 Defined cases: a null URL, or one without "://", has an empty host and an empty
 path, fits no rule and is allowed; so is any URL that the models can't tell
-apart. Repeated rows are judged alike. Other columns stay untouched.
+apart, and any without a rule where one of the classes is empty. Where a class
+is known from hosts of one fold only, the threshold comes from the models of all
+folds. Of rules of one length that both fit the last one listed wins. Repeated
+rows are judged alike; a URL of any length is read whole; an empty table gives
+no rows. Columns of the table named host, path, rule, verdict or url_score are
+replaced; others stay untouched.
 """
 
 from __future__ import annotations
@@ -49,7 +59,12 @@ class UrlRule:
 
 
 #: What marks a host as rejected when no labelled URLs are at hand.
-SPAM_SEEDS = ("casino", "pills", "adult", "bets", "spam", "ads-", "porn", "viagra", "xxx", "poker", "track")
+SPAM_SEEDS = (
+    "ads-", "adserv", "adult", "banner", "bets", "betting", "bonus", "casino", "cialis", "clickbait", "counterfeit", "escort", "gambl", "jackpot", "loans", "lottery",
+    "malware", "payday", "pharma", "phish", "pills", "poker", "popup", "porn", "replica", "slots", "spam", "track", "viagra", "warez", "xxx",
+)
+#: Parts that hosts are dealt to when the threshold is set.
+FOLDS = 4
 
 
 def host_of(url: Column) -> Column:
@@ -127,21 +142,39 @@ def key(k: int, kind: int, cells: np.ndarray) -> np.ndarray:
     return cells + (2 * k + kind) * WIDE
 
 
-def count_tables(labelled: DataFrame) -> Counts:
-    """Of all grams and contexts of all rows of labelled (url, y)."""
+class FoldCounts:
+    """Counts of each class and fold of hosts."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.n = keys, n  # n: [fold, class, key]
+
+    def all(self) -> Counts:
+        return Counts(self.keys, self.n.sum(0, dtype=np.int64))
+
+    def without(self, fold: int) -> Counts:
+        return Counts(self.keys, self.n.sum(0, dtype=np.int64) - self.n[fold])
+
+
+def count_tables(labelled: DataFrame) -> FoldCounts:
+    """Of all grams and contexts of all rows of labelled (url, y, fold)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for y in (0, 1):
-                urls = b["url"][b["y"] == y].tolist()
-                for k in range(ORDER) if urls else ():
+            for (fold, y), own in b.groupby(["fold", "y"])["url"]:
+                urls = own.tolist()
+                for k in range(ORDER):
                     for kind, cells in enumerate((grams(urls, k + 1, WIDE)[0], contexts(urls, k, WIDE))):
                         found, n = np.unique(key(k, kind, cells), return_counts=True)
-                        yield pd.DataFrame({"key": found, f"n{y}": n, f"n{1 - y}": 0})[["key", "n0", "n1"]]
+                        yield pd.DataFrame({"key": found, "part": np.int8(2 * fold + y), "n": n})
 
-    rows = labelled.mapInPandas(run, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = rows.toPandas().sort_values("key")
-    return Counts(found["key"].to_numpy(np.int64), found[["n0", "n1"]].to_numpy(np.int64).T.copy())
+    rows = labelled.mapInPandas(run, "key long, part byte, n long").groupBy("key", "part").agg(F.sum("n").alias("n"))
+    found = rows.toPandas()
+    keys, at = np.unique(found["key"].to_numpy(np.int64), return_inverse=True)
+    n = np.zeros((2 * FOLDS, len(keys)), np.int64)
+    n[found["part"].to_numpy(np.int64), at] = found["n"]
+    if n.max(initial=0) < 1 << 31:
+        n = n.astype(np.int32)
+    return FoldCounts(keys, n.reshape(FOLDS, 2, -1))
 
 
 def scores(urls: list[str], tables: np.ndarray | Counts, strength: float = 4.0, alphabet: int = 256) -> np.ndarray:
@@ -163,6 +196,8 @@ def scores(urls: list[str], tables: np.ndarray | Counts, strength: float = 4.0,
 
 
 def scored(rows: DataFrame, tables, url: str, score: str) -> DataFrame:
+    """rows with the score of url by the broadcast tables."""
+
     @F.pandas_udf("double")
     def run(urls: pd.Series) -> pd.Series:
         return pd.Series(scores(urls.tolist(), tables.value))
@@ -170,6 +205,22 @@ def scored(rows: DataFrame, tables, url: str, score: str) -> DataFrame:
     return rows.withColumn(score, run(F.coalesce(F.col(url), F.lit(""))))
 
 
+def cross_scored(labelled: DataFrame, tables) -> DataFrame:
+    """labelled with the score of each URL by counts without its own fold."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        counts = [tables.value.without(f) for f in range(FOLDS)]
+        for urls, folds in batches:
+            out = np.zeros(len(urls))
+            for f in range(FOLDS):
+                at = np.flatnonzero(folds.to_numpy() == f)
+                out[at] = scores(urls.iloc[at].tolist(), counts[f])
+            yield pd.Series(out)
+
+    return labelled.withColumn("score", run("url", "fold"))
+
+
 def calibrated(rows: DataFrame, score: str, label: str) -> float:
     """The threshold between the classes of greatest balanced accuracy, from a
     histogram of all rows. Infinite (nothing is rejected) if a class is empty."""
@@ -194,12 +245,16 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...], url: str = "url",
 
     label: 1 for rejected and 0 for accepted URLs, null for others; by default
     what the seeds say of the host."""
-    link = F.col(url)
+    link, spark = F.col(url), pages.sparkSession
     rows = pages.withColumn("host", host_of(link)).withColumn("path", path_of(link))
     y = seed_label(host_of(link)) if label is None else label
-    labelled = pages.select(link.alias("url"), y.alias("y")).where("url IS NOT NULL AND y IS NOT NULL").where(F.col("url").contains("://"))
-    tables = pages.sparkSession.sparkContext.broadcast(count_tables(labelled))
-    threshold = calibrated(scored(labelled, tables, "url", "score"), "score", "y")
+    fold = F.pmod(F.crc32(host_of(link).cast("binary")), F.lit(FOLDS)).cast("int")
+    labelled = pages.select(link.alias("url"), y.cast("int").alias("y"), fold.alias("fold")).where("url IS NOT NULL AND y IS NOT NULL").where(F.col("url").contains("://"))
+    counts = count_tables(labelled)
+    tables = spark.sparkContext.broadcast(counts.all())
+    whole = counts.n.any(2).sum(0).min() > 1  # both classes have hosts in two folds at least
+    tried = cross_scored(labelled, spark.sparkContext.broadcast(counts)) if whole else scored(labelled, tables, "url", "score")
+    threshold = calibrated(tried, "score", "y")
     rows = scored(rows.withColumn("__url_rule", rule_of(F.col("host"), F.col("path"), rules)), tables, url, "url_score")
     reject = (F.col("url_score") > threshold) & (F.col("host") != "")
     verdict = F.coalesce(F.col("__url_rule.verdict"), F.when(reject, "block").otherwise("allow"))
