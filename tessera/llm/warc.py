@@ -143,28 +143,51 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     out.select("file", F.expr("substring(value, 1, char_length(value) - 2)").alias("value")).write.partitionBy("file").option("lineSep", CRLF).text(path)
 
 
-def parsed(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """start, stop, header fields and body of the records of an archive file; stops at what isn't a record."""
+RECORD, END = b"WARC/", b"\r\n\r\n"
+
+
+def record_at(content: bytes, at: int) -> tuple[int, dict[str, str], bytes] | None:
+    """stop, header fields and body of the record that starts at a place; None
+    if there is none, or its length doesn't lead to its end."""
+    end = content.find(END, at)
+    if content[at : at + len(RECORD)] != RECORD or end < 0:
+        return None
+    fields = dict(x.split(": ", 1) for x in content[at:end].decode("utf-8", "replace").split(CRLF)[1:] if ": " in x)
+    size = fields.get("Content-Length", "")
+    if not (size.isascii() and size.isdigit()):
+        return None
+    stop = end + len(END) + int(size) + len(END)
+    return (stop, fields, content[end + len(END) : stop - len(END)]) if content[stop - len(END) : stop] == END else None
+
+
+def parsed(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, bool]]:
+    """start, stop, header fields, body and True for the records of an archive
+    file; for a range that can't be read as one its bytes, no fields and False.
+    Such a range goes on to the next place, after a record's end mark, that can."""
     at = 0
-    while content[at : at + 5] == b"WARC/":
-        end = content.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        fields = dict(x.split(": ", 1) for x in content[at:end].decode("utf-8", "replace").split(CRLF)[1:] if ": " in x)
-        n = int(fields.get("Content-Length") or 0)
-        stop = end + 4 + n + 4
-        yield at, min(stop, len(content)), fields, content[end + 4 : end + 4 + n]
-        at = stop
+    while at < len(content):
+        if found := record_at(content, at):
+            yield at, *found, True
+            at = found[0]
+            continue
+        start = at
+        while (at := content.find(END + RECORD, at)) >= 0 and not record_at(content, at := at + len(END)):
+            pass
+        at = at if at >= 0 else len(content)
+        yield start, at, {}, content[start:at], False
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, start, stop, uri, record_id, body of the records of archive files."""
+    """path, start, stop, uri, record_id, body of the records of archive files,
+    and intact: false for a range of bytes that can't be read as a record, of
+    which only place and bytes are given. A file is read whole, by one task, and
+    so must be below 2 GB."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
-                rows = [(name, s, e, f.get("WARC-Target-URI", ""), f.get("WARC-Record-ID", ""), bytes(x)) for s, e, f, x in parsed(bytes(content))]
-                yield pd.DataFrame(rows, columns=["path", "start", "stop", "uri", "record_id", "body"])
+                rows = [(name, s, e, f.get("WARC-Target-URI", ""), f.get("WARC-Record-ID", ""), bytes(x), ok) for s, e, f, x, ok in parsed(bytes(content))]
+                yield pd.DataFrame(rows, columns=["path", "start", "stop", "uri", "record_id", "body", "intact"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, start long, stop long, uri string, record_id string, body binary")
+    return files.mapInPandas(run, "path string, start long, stop long, uri string, record_id string, body binary, intact boolean")
