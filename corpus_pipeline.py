@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import quality, toxicity
-from tessera.llm.common import bounded_batches, materialise, table
+from tessera.llm.common import bounded_batches, materialise, remove_path, table
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.ngram_join import one_of_each
 from tessera.llm.packing import pack_documents
@@ -69,7 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, paths = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name, paths)
+        if len(paths) > 1:  # what the stage before wrote has been read
+            remove_path(spark, paths.pop(0))
     return STAGES[-1][1](spark, docs, sf_dir)
