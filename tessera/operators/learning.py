@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Centers = list[list[float]]
@@ -108,14 +107,75 @@ def kmeans_restarts(points: DataFrame, k: int, passes: int, most: int = 20, eps:
     return now[best], math.sqrt(cost[best])
 
 
-def information_criteria(n: int, dim: int, sizes: list[int], residual: float) -> tuple[float, float, float]:
-    """AIC, corrected AIC and BIC of spherical Gaussians with one variance."""
-    k = len(sizes)
-    variance = max(residual**2 / max(1, dim * (n - k)), 1e-300)
-    loglik = sum(m * math.log(m / n) for m in sizes if m) - n * dim / 2 * math.log(2 * math.pi * variance) - dim * (n - k) / 2
+def drawn_centers(points: DataFrame, k: int, seed: int = 0) -> Centers:
+    """Centers drawn one by one, the first evenly, each other with a chance in
+    proportion to its squared distance to those before: the point of the least
+    -ln(u) / d2, u being a number from the digest of its position. So one pass
+    and no running sum finds each."""
+    from ..functions.scalar import uniform
+
+    key = F.col("pos").cast("string")
+    first = points.agg(F.min_by("features", F.struct(uniform(key, seed), "pos")).alias("c")).first()
+    out = [list(first["c"])]
+    while len(out) < k:
+        race = -F.log(1 - uniform(key, seed + len(out))) / F.col("d2")
+        next_ = assigned(points, out).where("d2 > 0").agg(F.min_by("features", F.struct(race, F.col("pos"))).alias("c")).first()["c"]
+        if next_ is None:
+            raise ValueError("fewer different points than clusters")
+        out.append(list(next_))
+    return out
+
+
+def cluster_variances(points: DataFrame, centers: Centers) -> tuple[list[int], list[float]]:
+    """Sizes of the clusters and their mean squared distances."""
+    found = {x["label"]: x for x in assigned(points, centers).groupBy("label").agg(F.count("*").alias("n"), F.avg("d2").alias("v")).collect()}
+    return [found[k]["n"] if k in found else 0 for k in range(len(centers))], [found[k]["v"] if k in found else 0.0 for k in range(len(centers))]
+
+
+def information_criteria(dim: int, sizes: list[int], variances: list[float]) -> tuple[float, float, float]:
+    """AIC, corrected AIC and BIC of spherical Gaussians, one variance for each cluster."""
+    n, k = sum(sizes), len(sizes)
+    fit = sum(m * math.log(m) - m * math.log(n) - 0.5 * m * (math.log(2 * math.pi) + dim * math.log(max(v, 1e-300)) + 1) for m, v in zip(sizes, variances, strict=True) if m)
     q = k - 1 + dim * k + k
-    aic = 2 * q - 2 * loglik
-    return aic, aic + 2 * q * (q + 1) / max(1, n - q - 1), q * math.log(n) - 2 * loglik
+    aic = 2 * q - 2 * fit
+    return aic, aic + 2 * q * (q + 1) / max(1, n - q - 1), q * math.log(n) - 2 * fit
+
+
+def pmeans(points: DataFrame, dim: int, most: int = 10, significance: float = 0.1, rounds: int = 100) -> tuple[list[tuple[float, float, float]], dict[str, int]]:
+    """Criteria for 1, 2, ... clusters, up to most or until one has at most one
+    member; and the number of clusters that BIC chooses: the least value, and the
+    fewest clusters whose likelihood relative to the least is above significance."""
+    found: list[tuple[float, float, float]] = []
+    for k in range(1, most + 1):
+        centers, _, _ = kmeans(points, farthest_centers(points, k), rounds)
+        sizes, variances = cluster_variances(points, centers)
+        if k > 1 and min(sizes) <= 1:
+            break
+        found.append(information_criteria(dim, sizes, variances))
+    bic = [c[2] for c in found]
+    likely = [math.exp(max(-700.0, 0.5 * (min(bic) - b))) > significance for b in bic]
+    return found, {"least": bic.index(min(bic)) + 1, "significant": likely.index(True) + 1}
+
+
+def spatial_intensity(px: DataFrame, seeds: list[tuple[int, int]], rounds: int) -> DataFrame:
+    """(image_id, k, cx, cy): clusters of each image's pixels by place and value.
+    A pixel is as far from a center as their places are apart, times the
+    difference of exp(v) of both; means of places are weighted by exp(v)."""
+    from .storage import checkpointed
+
+    px = px.select("image_id", "x", "y", "v")
+    starts = px.sparkSession.createDataFrame([(k, x, y) for k, (x, y) in enumerate(seeds)], "k int, x int, y int")
+    now = px.join(F.broadcast(starts), ["x", "y"]).select("image_id", "k", F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), F.col("v").alias("cv"))
+    for _ in range(rounds):
+        near = px.join(F.broadcast(now), "image_id")  # a row for each image and cluster
+        dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+        far = F.round(F.abs(F.exp("cv") - F.exp("v")) * F.sqrt(dx * dx + dy * dy), 9)
+        own = near.groupBy("image_id", "x", "y", "v").agg(F.min(F.struct(far.alias("d"), "k")).alias("m"))
+        w = F.exp("v")
+        mean = own.groupBy("image_id", F.col("m.k").alias("k")).agg((F.sum(w * F.col("x")) / F.sum(w)).alias("cx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("cy"))
+        mean = mean.withColumn("x", F.floor(F.col("cx") + 0.5).cast("int")).withColumn("y", F.floor(F.col("cy") + 0.5).cast("int"))
+        now = checkpointed(mean.join(px.withColumnRenamed("v", "cv"), ["image_id", "x", "y"]).select("image_id", "k", "cx", "cy", "cv"), now)
+    return now
 
 
 def moments(points: DataFrame, dim: int) -> DataFrame:
@@ -163,6 +223,48 @@ def projected(points: DataFrame, mean: np.ndarray, vectors: np.ndarray) -> DataF
     return points.withColumn("c", centred).withColumn("features", F.array(*[dot(v) for v in vectors.T])).drop("c")
 
 
+def gram(px: DataFrame) -> DataFrame:
+    """(i, j, v): products of all images after their mean image is taken off, by a
+    join on the pixel. Few images of many pixels: their table is what is small."""
+    mean = px.groupBy("x", "y").agg(F.avg("v").alias("__m"))
+    z = px.join(mean, ["x", "y"]).select("image_id", "x", "y", (F.col("v") - F.col("__m")).alias("v"))
+    other = z.select(F.col("image_id").alias("j"), "x", "y", F.col("v").alias("w"))
+    return z.join(other, ["x", "y"]).groupBy(F.col("image_id").alias("i"), "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+
+def modes(products: DataFrame, steps: int = 500, eps: float = 1e-12) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Ids, variances and coefficients of the modes of the images behind a table
+    of products: the largest eigenvalue by power steps, then taken off."""
+    rows = products.collect()  # images squared
+    ids = sorted({x["i"] for x in rows})
+    a = np.zeros((len(ids), len(ids)))
+    for x in rows:
+        a[ids.index(x["i"]), ids.index(x["j"])] = x["v"]
+    values, vectors = [], []
+    for k in range(len(ids)):
+        v = np.cos(np.arange(1, len(ids) + 1) * (k + 1.0))
+        value = 0.0
+        for _ in range(steps):
+            w = a @ v
+            value = float(np.linalg.norm(w))
+            if value < 1e-300:
+                break
+            w /= value
+            done, v = np.abs(w - v).max() < eps, w
+            if done:
+                break
+        values.append(float(v @ a @ v) / max(float(v @ v), 1e-300))
+        vectors.append(v)
+        a = a - values[-1] * np.outer(v, v) / max(float(v @ v), 1e-300)
+    return ids, np.array(values), np.array(vectors).T
+
+
+def orthonormalised(means: np.ndarray) -> np.ndarray:
+    """Rows that span what the given ones span, of length 1 and at right angles."""
+    q, r = np.linalg.qr(means.T)
+    return (q * np.sign(np.where(np.diag(r) == 0, 1, np.diag(r)))).T
+
+
 # ---- quality of a segmentation ----
 
 
@@ -207,14 +309,40 @@ def assignment(cost: np.ndarray) -> list[int]:
     return out
 
 
+def first_assignment(cost: np.ndarray) -> list[int]:
+    """As assignment; of several cheapest ones that which gives the first row the
+    least column, then the second, and so on. (A row is left out at last.)"""
+    n, m = cost.shape
+    cost = cost.astype(float)
+    if n > m:  # columns of no difference for the rows that are left out
+        cost = np.concatenate([cost, np.full((n, n - m), cost.max(initial=0) + 1)], 1)
+    worth = lambda c: sum(c[i, j] for i, j in enumerate(assignment(c)))
+    best, wall = worth(cost), abs(cost).sum() + 1
+    now = cost.copy()
+    out = []
+    for i in range(n):
+        for j in range(now.shape[1]):
+            if j in out:
+                continue
+            tried = now.copy()
+            tried[i] = wall
+            tried[i, j] = now[i, j]
+            if abs(worth(tried) - best) <= 1e-9 * max(1.0, abs(best)):
+                now = tried
+                out.append(j)
+                break
+    return [j if j < m else -1 for j in out]
+
+
 def quality(matrix: np.ndarray) -> dict[str, float]:
     """Six measures of a confusion matrix [seg, gt] under the best matching of
     segments to classes: correct share (overlaps of at least 75 % on both
     sides), omission and commission (medians over classes), and class-weighted
-    accuracies. A class without a partner counts as wholly missed."""
+    accuracies. A class without a partner counts as wholly missed. Of several
+    best matchings the first class has the least segment, then the second."""
     seg_n, gt_n, total = matrix.sum(1), matrix.sum(0), matrix.sum()
-    partner = assignment(gt_n[None, :] + seg_n[:, None] - 2.0 * matrix)
-    of_gt = {g: s for s, g in enumerate(partner) if g >= 0}
+    of_gt = {g: s for g, s in enumerate(first_assignment((gt_n[None, :] + seg_n[:, None] - 2.0 * matrix).T)) if s >= 0}
+    partner = [next((g for g, own in of_gt.items() if own == s), -1) for s in range(len(seg_n))]
     hit = np.array([matrix[of_gt[g], g] if g in of_gt else 0.0 for g in range(len(gt_n))])
     size = np.array([seg_n[of_gt[g]] if g in of_gt else 0.0 for g in range(len(gt_n))])
     share = lambda a, b: np.divide(a, b, out=np.zeros_like(a, float), where=b > 0)
@@ -229,14 +357,12 @@ def quality(matrix: np.ndarray) -> dict[str, float]:
     }
 
 
-def best_permutation(overlap: list[list[float]]) -> float:
-    """The greatest total overlap over all one-to-one matchings, by trying all (for tests)."""
-    n = len(overlap)
-    return max(sum(overlap[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
-
-
-def matrix_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def on_simplex(features: Column) -> Column:
+    """The nearest array with elements of at least 0 that sum to 1."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(-float("inf")).alias("t"))
+    step = lambda a, x: F.struct((a["s"] + x).alias("s"), (a["k"] + 1).alias("k"), F.greatest(a["t"], (a["s"] + x - 1) / (a["k"] + 1)).alias("t"))
+    excess = F.aggregate(F.sort_array(features, asc=False), start, step, lambda a: a["t"])
+    return F.transform(features, lambda x: F.greatest(x - excess, F.lit(0.0)))
 
 
 # ---- sparse matrices as (i, j, v) ----

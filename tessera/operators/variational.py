@@ -46,13 +46,14 @@ def to_simplex(u: np.ndarray) -> np.ndarray:
 
 
 def tv_denoise(image: np.ndarray, weight: float, most: int = 500, eps: float = 1e-4) -> np.ndarray:
-    """Minimises |u - image|^2 / 2 + weight TV(u) by an accelerated primal-dual scheme."""
+    """Minimises |u - image|^2 / (2 weight) + TV(u) by an accelerated primal-dual
+    scheme. The dual step is on TV itself, so its size fits every weight."""
     u = bar = image.copy()
     p, tau, sigma = np.zeros((2, *image.shape)), 0.25, 0.5
-    for _ in range(most):
-        p = to_unit_balls(p + sigma / weight * gradient(bar) * weight) if weight > 0 else p
-        new = (u + tau * (weight * divergence(p) + image)) / (1 + tau)
-        theta = 1 / np.sqrt(1 + 0.7 * tau)
+    for _ in range(most if weight > 0 else 0):
+        p = to_unit_balls(p + sigma * gradient(bar))
+        new = (u + tau * divergence(p) + tau / weight * image) / (1 + tau / weight)
+        theta = 1 / np.sqrt(1 + 1.4 / weight * tau)
         tau, sigma = theta * tau, sigma / theta
         bar = new + theta * (new - u)
         done = np.abs(new - u).max() < eps
@@ -62,6 +63,52 @@ def tv_denoise(image: np.ndarray, weight: float, most: int = 500, eps: float = 1
     return u
 
 
+def two_phase(first: np.ndarray, second: np.ndarray, gamma: float, most: int = 1000, eps: float = 1e-3, start: np.ndarray | None = None) -> np.ndarray:
+    """Soft label of the second phase that minimises u^2 first + (1 - u)^2 second,
+    summed, plus gamma TV(u), for the indicators of both phases: accelerated
+    primal-dual steps, each primal step in closed form; the relaxed iterate is
+    carried on."""
+    u = np.full(first.shape, 0.5) if start is None else start.copy()
+    p, tau, sigma = np.zeros((2, *first.shape)), 0.125, 0.125
+    rate = 2 * 0.7 / gamma
+    for _ in range(most):
+        p = to_unit_balls(p + sigma * gradient(u))
+        weight = 2 * tau / gamma
+        new = (u + tau * divergence(p) + weight * second) / (1 + weight * (first + second))
+        theta = 1 / np.sqrt(1 + rate * tau)
+        tau, sigma = tau * theta, sigma / theta
+        new = new + theta * (new - u)
+        change = np.sqrt(((new - u) ** 2).sum())
+        u = new
+        if change < eps:
+            break
+    return u
+
+
+def stretched_means(features: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Means of both phases: u is stretched about 1/2 to fill 0 to 1, then u^2 and
+    (1 - u)^2 are weights; a phase without weight gets zeros."""
+    u = u - 0.5
+    u = 0.5 + u / max(2 * np.abs(u).max(), 1e-300)
+    out = np.zeros((2, len(features)))
+    for k, w in enumerate((u**2, (1 - u) ** 2)):
+        if w.sum() > 0:
+            out[k] = (features * w).sum((1, 2)) / w.sum()
+    return out
+
+
+def two_phase_segment(features: np.ndarray, means: np.ndarray, gamma: float, outer: int = 3, most: int = 500, eps: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Hard labels (1 for the phase of the second mean) and means, by turns. A
+    half is added to each indicator, so that no pixel is without a pull."""
+    u = None
+    for _ in range(outer):
+        own = indicators(features, means) + 0.5
+        # u near 1 is the phase of means[1]: its indicator is paid where u is
+        u = two_phase(own[1], own[0], gamma, most, eps, u)
+        means = stretched_means(features, u)[::-1]
+    return (u > 0.5).astype(int), means
+
+
 def multiphase(indicators: np.ndarray, weight: float, most: int = 1000, eps: float = 1e-3, start: np.ndarray | None = None) -> np.ndarray:
     """Soft label maps [segment, y, x] that minimise sum(u f) weight + TV(u) on the simplex."""
     k = len(indicators)
@@ -104,21 +151,6 @@ def piecewise_constant(features: np.ndarray, means: np.ndarray, weight: float, o
     return hard_labels(u), means
 
 
-def kmeans_numpy(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
-    """Farthest-first start, then Lloyd's rounds; the centers."""
-    c = [x[(x**2).sum(1).argmax()]]
-    while len(c) < k:
-        c.append(x[np.min([((x - m) ** 2).sum(1) for m in c], 0).argmax()])
-    c = np.array(c)
-    for _ in range(rounds):
-        label = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-        new = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
-        if np.allclose(new, c):
-            break
-        c = new
-    return c
-
-
 def reflected_blocks(image: np.ndarray, size: int) -> np.ndarray:
     """[y, x, size, size]: the block around each pixel, mirrored at the border."""
     r = size // 2
@@ -171,20 +203,3 @@ def table_of(image_id: int, **columns: np.ndarray) -> pd.DataFrame:
 def per_image(px: DataFrame, make, schema: str) -> DataFrame:
     """make(image, image_id) -> rows, for each image by itself."""
     return px.groupBy("image_id").applyInPandas(lambda pdf: make(image_of(pdf), int(pdf["image_id"].iloc[0])), "image_id int, x int, y int, " + schema)
-
-
-def segment_textures(px: DataFrame, segments: int, size: int = 7, weight: float = 20.0, components: int = 4) -> DataFrame:
-    """Label maps from local spectra: block moduli, principal components, clusters, then multi-phase minimisation."""
-
-    def make(image: np.ndarray, image_id: int) -> pd.DataFrame:
-        span = image.max() - image.min()
-        f = fft_modulus((image - image.min()) / (span or 1.0), size).reshape(image.size, -1)
-        centred = f - f.mean(0)
-        vectors = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :components]
-        x = centred @ vectors
-        x /= max(np.sqrt((x**2).sum(1).mean()), 1e-12)
-        features = x.T.reshape(-1, *image.shape)
-        labels, _ = piecewise_constant(features, kmeans_numpy(x, segments), weight)
-        return table_of(image_id, label=labels.astype(np.int32))
-
-    return per_image(px, make, "label int")

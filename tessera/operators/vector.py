@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def zipped(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two vectors of equal length position by position."""
-    return a.join(b, "pos")
+    """Two vectors position by position; a position that one of them lacks is an error."""
+    a, b = a.withColumn("__in_a", F.lit(True)), b.withColumn("__in_b", F.lit(True))
+    both = F.col("__in_a") & F.col("__in_b")
+    place = F.when(both, F.col("pos")).otherwise(F.raise_error(F.lit("vectors of different length")).cast("long"))
+    rows = a.join(b, "pos", "full").withColumn("pos", place)
+    # the check hangs on a column that is always read, so that no plan leaves it out
+    return rows.where(F.col("pos").isNotNull()).drop("__in_a", "__in_b")
 
 
 def clamp(v: Column, low: float, high: float) -> Column:
@@ -91,3 +98,69 @@ def resample_linear(df: DataFrame, n: int, m: int) -> DataFrame:
     near = df.select("pos", "v", F.explode(F.sequence(first, last)).alias("j"))
     weight = 1 - F.abs(F.col("j") * F.lit(step) - i)
     return near.withColumn("k", weight).where("k > 0").groupBy(F.col("j").alias("pos")).agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+
+
+def applied(df: DataFrame, f: Callable[[Column], Column], v: str = "v") -> DataFrame:
+    """f of every value, f being any expression of a column."""
+    return df.withColumn(v, f(F.col(v)))
+
+
+def order_reverted(df: DataFrame, n: int) -> DataFrame:
+    """The last value first."""
+    return df.withColumn("pos", F.lit(n - 1) - F.col("pos"))
+
+
+def resample_constant(df: DataFrame, n: int, m: int) -> DataFrame:
+    """A vector of n cells of equal width as one of m: each new cell gets the mean
+    of the old ones that it covers, by the length that they share with it."""
+    step = n / m
+    i = F.col("pos")
+    first = F.floor(i / F.lit(step)).cast("long")
+    last = F.least(F.ceil((i + 1) / F.lit(step)).cast("long") - 1, F.lit(m - 1))
+    near = df.select("pos", "v", F.explode(F.sequence(first, last)).alias("j"))
+    part = F.least(i + 1, (F.col("j") + 1) * F.lit(step)) - F.greatest(i.cast("double"), F.col("j") * F.lit(step))
+    return near.withColumn("k", part).where("k > 0").groupBy(F.col("j").alias("pos")).agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("v"))
+
+
+def interpolated(df: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """place and v: a vector of n values between its positions, linearly. Places
+    (a column place, from 0 to n - 1) go to the one or two values that they need."""
+    low = F.least(F.floor("place").cast("long"), F.lit(n - 1))
+    rows = places.withColumn("share", F.col("place") - low)
+    ends = F.array(F.struct(low.alias("pos"), (1 - F.col("share")).alias("w")), F.struct((low + 1).alias("pos"), F.col("share").alias("w")))
+    rows = rows.select("place", F.inline(F.filter(ends, lambda e: e["w"] > 0)))
+    return rows.join(df.select("pos", "v"), "pos").groupBy("place").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
+def erased(df: DataFrame, at: int, count: int = 1) -> DataFrame:
+    """Without the values from a position on; what follows moves up."""
+    rows = df.where((F.col("pos") < at) | (F.col("pos") >= at + count))
+    return rows.withColumn("pos", F.when(F.col("pos") >= at, F.col("pos") - count).otherwise(F.col("pos")))
+
+
+def inserted(df: DataFrame, at: int, value: float) -> DataFrame:
+    """With a value before that of a position; what follows moves down."""
+    rows = df.select(F.when(F.col("pos") >= at, F.col("pos") + 1).otherwise(F.col("pos")).alias("pos"), "v")
+    return rows.unionByName(df.sparkSession.range(1).select(F.lit(at).cast("long").alias("pos"), F.lit(value).alias("v")))
+
+
+def first_of_value_erased(df: DataFrame, value: float) -> DataFrame:
+    """Without the first occurrence of a value; unchanged where there is none."""
+    first = df.where(F.col("v") == value).agg(F.min("pos").alias("at"))  # one row
+    rows = df.crossJoin(F.broadcast(first)).where(F.col("at").isNull() | (F.col("pos") != F.col("at")))
+    return rows.withColumn("pos", F.when(F.col("pos") > F.col("at"), F.col("pos") - 1).otherwise(F.col("pos"))).drop("at")
+
+
+def concatenated(*parts: DataFrame) -> DataFrame:
+    """Vectors as the components of one: component, pos, v."""
+    out = parts[0].select(F.lit(0).alias("component"), "pos", "v")
+    for k, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.select(F.lit(k).alias("component"), "pos", "v"))
+    return out
+
+
+def inverted(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """value -> key of a map whose values differ; one that comes twice is an error."""
+    rows = pairs.groupBy(value).agg(F.min(key).alias(key), F.count("*").alias("__n"))
+    kind = pairs.schema[key].dataType
+    return rows.select(value, F.when(F.col("__n") == 1, F.col(key)).otherwise(F.raise_error(F.lit("a value comes twice")).cast(kind)).alias(key))

@@ -60,7 +60,7 @@ def label_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VEC = "vec AS (SELECT o_orderkey AS pos, o_totalprice AS v, (1 + o_orderkey % 7)::DOUBLE AS w, o_orderstatus AS status FROM orders)"
-SECOND = VEC + ", vec2 AS (SELECT vec.pos, vec.v, vec.w, coalesce(q.u, 0.0) AS u FROM vec LEFT JOIN (SELECT l_orderkey AS pos, sum(l_quantity) AS u FROM lineitem GROUP BY 1) q ON vec.pos = q.pos)"
+SECOND = VEC + ", vec2 AS (SELECT vec.pos, vec.v, vec.w, vec.status, coalesce(q.u, 0.0) AS u FROM vec LEFT JOIN (SELECT l_orderkey AS pos, sum(l_quantity) AS u FROM lineitem GROUP BY 1) q ON vec.pos = q.pos)"
 PIX = f"""pix AS (
   SELECT a.image_id, a.x, a.y, coalesce(s.v, 0.0) AS v FROM
     (SELECT i.i::INT AS image_id, x.i::INT AS x, y.i::INT AS y FROM range({IMAGES}) i(i), range({SIDE}) x(i), range({SIDE}) y(i)) a

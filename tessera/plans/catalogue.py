@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import grids, learning, more, vectors
+from . import files, geometry, grids, learning, maps, more, numerics, spectral, vectors, volumes
 
-QUERIES = {**vectors.QUERIES, **grids.QUERIES, **learning.QUERIES, **more.QUERIES}
-ORACLE_SQL = {**vectors.ORACLE_SQL, **grids.ORACLE_SQL, **learning.ORACLE_SQL, **more.ORACLE_SQL}
+_MODULES = (vectors, grids, learning, more, maps, geometry, volumes, spectral, numerics, files)
+QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
 FLAGSHIP = learning.quality_metrics

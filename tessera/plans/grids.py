@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import grid as g
 from ..operators import ordering as o
+from ..operators import segmentation as sg
 from ..operators import vector as v
 from .bindings import PIX, SIDE, raster
 
@@ -65,7 +66,7 @@ def grid_crop_borders(spark, d):
     return pixels(g.crop_borders(px, 0.0))
 
 
-@query(f"WITH {PIX}, c AS (SELECT i.i::INT AS image_id, x.i::INT AS x, y.i::INT AS y FROM range(4) i(i), range(40) x(i), range(20) y(i)) SELECT c.image_id, c.x, c.y, coalesce(p.v, -1.0) AS v FROM c LEFT JOIN pix p ON c.image_id = p.image_id AND p.x = c.x - 4 AND p.y = c.y + 6")
+@query(f"WITH {PIX}, c AS (SELECT i.i::INT AS image_id, x.i::INT AS x, y.i::INT AS y FROM (SELECT DISTINCT image_id AS i FROM pix) i, range(40) x(i), range(20) y(i)) SELECT c.image_id, c.x, c.y, coalesce(p.v, -1.0) AS v FROM c LEFT JOIN pix p ON c.image_id = p.image_id AND p.x = c.x - 4 AND p.y = c.y + 6")
 def grid_pad(spark, d):
     return pixels(g.pad(raster(spark, d), 40, 20, -1.0))
 
@@ -127,45 +128,47 @@ def patch_rebuild(spark, d):
 # ---- stencils ----
 
 
+def as_kernel(k) -> g.Kernel:
+    """A kernel [y, x] as (dx, dy, weight)."""
+    o = k.shape[0] // 2
+    return [(x - o, y - o, float(k[y, x])) for y in range(k.shape[0]) for x in range(k.shape[1])]
+
+
 def gaussian(size: int, sigma: float) -> g.Kernel:
-    h = size // 2
-    k = [(a, b, math.exp(-(a * a + b * b) / (2 * sigma * sigma))) for b in range(-h, h + 1) for a in range(-h, h + 1)]
-    total = sum(w for _, _, w in k)
-    return [(a, b, w / total) for a, b, w in k]
+    return as_kernel(sg.gaussian(size, sigma))
 
 
 def gabor(size: int, theta: float) -> g.Kernel:
-    """Frequency and width follow from the size; aspect ratio 1, phase 0."""
+    return as_kernel(sg.gabor(size, theta))
+
+
+def formula_sql(size: int, weight: str, rule: str) -> str:
+    """Correlation with a kernel that SQL computes by itself from dx and dy; tot is the sum of exp(-r^2 / 2 sigma^2) where a formula needs it."""
+    at = lambda c: rule.replace("%%", "%").format(c=c)
     h = size // 2
-    s = h / 2
-    f = 1 / (2 * s)
-    rows = [(a, b, a * math.cos(theta) + b * math.sin(theta)) for b in range(-h, h + 1) for a in range(-h, h + 1)]
-    return [(a, b, math.exp(-(a * a + b * b) / (2 * s * s)) * math.cos(2 * math.pi * f * u)) for a, b, u in rows]
+    return f"""WITH {PIX}, o AS (SELECT a.i - {h} AS dx, b.i - {h} AS dy FROM range({size}) a(i), range({size}) b(i)), k AS (SELECT dx, dy, {weight} AS w FROM o)
+SELECT p.image_id, p.x, p.y, round(sum(k.w * q.v), 6) AS v FROM pix p CROSS JOIN k JOIN pix q ON q.image_id = p.image_id AND q.x = {at('p.x + k.dx')} AND q.y = {at('p.y + k.dy')} GROUP BY 1, 2, 3"""
 
 
-def laplacian_of_gaussian(size: int, sigma: float) -> g.Kernel:
-    h, s2 = size // 2, sigma * sigma
-    k = [(a, b, (a * a + b * b - 2 * s2) / (s2 * s2) * math.exp(-(a * a + b * b) / (2 * s2))) for b in range(-h, h + 1) for a in range(-h, h + 1)]
-    mean = sum(w for _, _, w in k) / len(k)
-    return [(a, b, w - mean) for a, b, w in k]
+GABOR_SQL = "exp(-(dx * dx + dy * dy) / (2 * {s} * {s})) * cos(2 * pi() / (2 * {s}) * (dy * cos({t}) + dx * sin({t}))) / (2 * pi() * {s} * {s})"
 
 
 SOBEL = [(-1, -1, -1.0), (1, -1, 1.0), (-1, 0, -2.0), (1, 0, 2.0), (-1, 1, -1.0), (1, 1, 1.0)]
 
 
-@query(correlation_sql(gaussian(5, 1.2), REFLECT))
+@query(formula_sql(5, "exp(-(dx * dx + dy * dy) / 2.88) / sum(exp(-(dx * dx + dy * dy) / 2.88)) OVER ()", REFLECT))
 def conv_reflect_gauss(spark, d):
     return pixels(g.correlate(raster(spark, d), gaussian(5, 1.2), "reflect"))
 
 
-@query(correlation_sql(gabor(7, math.pi / 6), REFLECT))
+@query(formula_sql(7, GABOR_SQL.format(s="1.5", t="pi() / 6"), REFLECT))
 def conv_gabor(spark, d):
     return pixels(g.correlate(raster(spark, d), gabor(7, math.pi / 6), "reflect"))
 
 
-@query(correlation_sql(laplacian_of_gaussian(5, 1.0), REFLECT))
+@query(formula_sql(5, "-exp(-(dx * dx + dy * dy) / 2.0) / sum(exp(-(dx * dx + dy * dy) / 2.0)) OVER () * (1 - (dx * dx + dy * dy) / 2.0) / pi()", REFLECT))
 def conv_log(spark, d):
-    return pixels(g.correlate(raster(spark, d), laplacian_of_gaussian(5, 1.0), "reflect"))
+    return pixels(g.correlate(raster(spark, d), as_kernel(sg.laplacian_of_gaussian(5, 1.0)), "reflect"))
 
 
 @query(correlation_sql(SOBEL, PERIODIC))
@@ -219,7 +222,11 @@ def derivative_kernels(sigma: float, size: int) -> list[g.Kernel]:
     return out
 
 
-@query()
+@query(f"""WITH {PIX}, o AS (SELECT a.i - 2 AS dx, b.i - 2 AS dy, exp(-((a.i - 2) ** 2 + (b.i - 2) ** 2) / 2.0) AS e FROM range(5) a(i), range(5) b(i)),
+ n AS (SELECT dx, dy, -dx * e AS kx, -dy * e AS ky, (dx * dx - 1) * e AS kxx, dx * dy * e AS kxy, (dy * dy - 1) * e AS kyy FROM o),
+ k AS (SELECT dx, dy, kx - avg(kx) OVER () AS kx, ky - avg(ky) OVER () AS ky, kxx - avg(kxx) OVER () AS kxx, kxy - avg(kxy) OVER () AS kxy, kyy - avg(kyy) OVER () AS kyy FROM n),
+ s AS (SELECT p.image_id, p.x, p.y, sum(kx * q.v) AS a, sum(ky * q.v) AS b, sum(kxx * q.v) AS xx, sum(kxy * q.v) AS xy, sum(kyy * q.v) AS yy FROM pix p CROSS JOIN k JOIN pix q ON q.image_id = p.image_id AND q.x = {PERIODIC.replace('%%', '%').format(c='p.x + k.dx')} AND q.y = {PERIODIC.replace('%%', '%').format(c='p.y + k.dy')} GROUP BY 1, 2, 3)
+SELECT image_id, x, y, round((xx * a * a + 2 * xy * a * b + yy * b * b) / CASE WHEN a * a + b * b = 0 THEN 1 ELSE a * a + b * b END, 4) AS second, round(sqrt(a * a + b * b), 5) AS gradient FROM s""")
 def canny(spark, d):
     """Second derivative along the gradient, 0 where there is none, and the gradient's size."""
     kx, ky, kxx, kxy, kyy = derivative_kernels(1.0, 5)
@@ -227,7 +234,7 @@ def canny(spark, d):
     a, b = F.col("v"), F.col("b")
     size = a * a + b * b
     second = (F.col("xx") * a * a + 2 * F.col("xy") * a * b + F.col("yy") * b * b) / F.when(size == 0, F.lit(1.0)).otherwise(size)
-    return s.select("image_id", "x", "y", r(second).alias("second"), r(F.sqrt(size)).alias("gradient"))
+    return s.select("image_id", "x", "y", r(second, 4).alias("second"), r(F.sqrt(size), 5).alias("gradient"))
 
 
 @query(f"""WITH {PIX} SELECT p.image_id, p.x, p.y, CASE WHEN p.x < 2 OR p.y < 2 OR p.x > {N - 3} OR p.y > {N - 3} THEN -1.0 ELSE (a.v - b.v) ** 2 + (c.v - e.v) ** 2 END AS v FROM pix p
@@ -275,12 +282,22 @@ def local_histogram(spark, d):
     return g.local_histogram(raster(spark, d), 7, 11).select("image_id", "x", "y", "bin", r("share", 8).alias("share"))
 
 
-@query()
+def spectral_sql() -> str:
+    kernels = " UNION ALL ".join(f"SELECT {k} AS f, dx, dy, {GABOR_SQL.format(s='1.0', t=f'{k} * pi() / 4')} AS w FROM o0" for k in range(4))
+    at = lambda c: REFLECT.format(c=c)
+    return f"""WITH {PIX}, o0 AS (SELECT a.i - 2 AS dx, b.i - 2 AS dy FROM range(5) a(i), range(5) b(i)), k AS ({kernels}),
+ resp AS (SELECT k.f, p.image_id, p.x, p.y, round(sum(k.w * q.v), 7) AS v FROM pix p CROSS JOIN k JOIN pix q ON q.image_id = p.image_id AND q.x = {at('p.x + k.dx')} AND q.y = {at('p.y + k.dy')} GROUP BY 1, 2, 3, 4),
+ b AS (SELECT p.*, least(floor((v - a) * 11 / (e.b - e.a)), 10)::INT AS bin FROM resp p JOIN (SELECT f, image_id, min(v) AS a, max(v) AS b FROM resp GROUP BY 1, 2) e ON e.image_id = p.image_id AND e.f = p.f), o AS (SELECT i.i::INT - 3 AS i FROM range(7) i(i))
+SELECT p.image_id, p.x, p.y, q.bin + 11 * p.f AS feature, round(count(*) / 49.0, 8) AS share FROM b p CROSS JOIN o dx CROSS JOIN o dy JOIN b q ON q.f = p.f AND q.image_id = p.image_id AND q.x = {CLIP.format(c='p.x + dx.i')} AND q.y = {CLIP.format(c='p.y + dy.i')} GROUP BY 1, 2, 3, 4"""
+
+
+@query(spectral_sql())
 def spectral_histogram_features(spark, d):
     """Local histograms of the responses to four Gabor filters, one after another."""
     px, out = raster(spark, d), None
     for k in range(4):
-        part = g.local_histogram(g.correlate(px, gabor(5, k * math.pi / 4)), 7, 11)
+        response = g.correlate(px, gabor(5, k * math.pi / 4)).withColumn("v", r("v", 7))  # sums in any order fall into one bin
+        part = g.local_histogram(response, 7, 11)
         part = part.select("image_id", "x", "y", (F.col("bin") + 11 * k).alias("feature"), r("share", 8).alias("share"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -335,7 +352,7 @@ def color_rgb_hsv(spark, d):
     return rgb(spark, d).select("x", "y", r(h).alias("h"), r(s).alias("s"), r(val).alias("v"))
 
 
-@query(f"WITH {RGB} SELECT x, y, round(0.2125 * r + 0.7154 * g + 0.072 * b, 6) AS gray, round(0.299 * r + 0.587 * g + 0.114 * b, 6) AS luma, round((b - (0.299 * r + 0.587 * g + 0.114 * b)) / 1.772, 6) AS cb, round((r - (0.299 * r + 0.587 * g + 0.114 * b)) / 1.402, 6) AS cr FROM rgb")
+@query(f"WITH {RGB} SELECT x, y, round(0.2125 * r + 0.7154 * g + 0.072 * b, 6) AS gray, round(0.299 * r + 0.587 * g + 0.114 * b, 6) AS luma, round(-0.169 * r - 0.331 * g + 0.5 * b, 6) AS cb, round(0.5 * r - 0.419 * g - 0.081 * b, 6) AS cr FROM rgb")
 def color_ycbcr(spark, d):
     red, green, blue = F.col("r"), F.col("g"), F.col("b")
     luma, cb, cr = color.rgb_to_ycbcr(red, green, blue)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import grid as g
 from ..operators import learning as m
+from ..operators import segmentation as sg
 from ..operators import variational as va
 from .bindings import FEAT, MAPS, PIX, SIDE, features, label_maps, raster
 
@@ -70,7 +70,7 @@ def matrix_of(spark, d):
 PERM = f"""WITH {DENSE}, n AS (SELECT seg, gt, count(*)::DOUBLE AS n FROM d GROUP BY 1, 2), s AS (SELECT seg, sum(n) AS ns FROM n GROUP BY 1), t AS (SELECT gt, sum(n) AS nt FROM n GROUP BY 1),
  p AS (SELECT a.seg AS s0, b.seg AS s1, c.seg AS s2, a.ns + b.ns + c.ns AS tot FROM s a, s b, s c WHERE a.seg <> b.seg AND a.seg <> c.seg AND b.seg <> c.seg),
  q AS (SELECT *, coalesce((SELECT n FROM n WHERE seg = s0 AND gt = 0), 0) AS h0, coalesce((SELECT n FROM n WHERE seg = s1 AND gt = 1), 0) AS h1, coalesce((SELECT n FROM n WHERE seg = s2 AND gt = 2), 0) AS h2 FROM p),
- best AS (SELECT * FROM q ORDER BY h0 + h1 + h2 DESC LIMIT 1),
+ best AS (SELECT * FROM q ORDER BY h0 + h1 + h2 DESC, s0, s1, s2 LIMIT 1),
  x AS (SELECT t.gt, nt, CASE t.gt WHEN 0 THEN h0 WHEN 1 THEN h1 ELSE h2 END AS h, (SELECT ns FROM s WHERE seg = CASE t.gt WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END) AS ns, tot FROM t, best)"""
 
 
@@ -81,11 +81,24 @@ def quality_metrics(spark, d):
     return spark.createDataFrame([(k, round(v, 8)) for k, v in q.items()], "metric string, value double")
 
 
-@query()
+@query(f"{PERM} SELECT t.gt::INT AS gt, (CASE t.gt WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END)::INT AS seg FROM t, best")
 def segment_assignment(spark, d):
+    """The segment of each class; of several best matchings the first class has the least."""
     cost = matrix_of(spark, d)
-    rows = m.assignment(cost.sum(0)[None, :] + cost.sum(1)[:, None] - 2 * cost)
-    return spark.createDataFrame(list(enumerate(rows)), "seg int, gt int")
+    rows = m.first_assignment((cost.sum(0)[None, :] + cost.sum(1)[:, None] - 2 * cost).T)
+    return spark.createDataFrame(list(enumerate(rows)), "gt int, seg int")
+
+
+@query(f"""WITH i AS (SELECT l_linenumber % 4 AS image, ascii(l_returnflag) AS g, floor((l_quantity - 1) / 17)::INT AS q FROM lineitem), c AS (SELECT image, avg(CASE WHEN (g = 82 AND q = 2) OR (g = 78 AND q = 1) OR (g = 65 AND q = 0) THEN 1.0 ELSE 0.0 END) AS co FROM i GROUP BY 1)
+SELECT round(avg(co), 8) AS mean, round(stddev_samp(co), 8) AS sd FROM c""")
+def quality_over_images(spark, d):
+    """Mean and standard deviation over images of the share of agreeing labels (both by descending gray value)."""
+    from .bindings import table
+
+    i = table(spark, d, "lineitem").select((F.col("l_linenumber") % 4).alias("image"), F.ascii("l_returnflag").alias("g"), F.floor((F.col("l_quantity") - 1) / 17).cast("int").alias("q"))
+    same = ((F.col("g") == 82) & (F.col("q") == 2)) | ((F.col("g") == 78) & (F.col("q") == 1)) | ((F.col("g") == 65) & (F.col("q") == 0))
+    co = i.groupBy("image").agg(F.avg(F.when(same, 1.0).otherwise(0.0)).alias("co"))
+    return co.agg(r(F.avg("co"), 8).alias("mean"), r(F.stddev_samp("co"), 8).alias("sd"))
 
 
 # ---- clustering ----
@@ -111,52 +124,12 @@ def kmeans_step(spark, d):
     return spark.createDataFrame([(k, j, round(x, 6)) for k, row in enumerate(c) for j, x in enumerate(row)], "label long, j long, v double")
 
 
-@query()
-def kmeans_mec_init(spark, d):
-    p = features(spark, d)
-    c = m.farthest_centers(p, K)
-    return m.assigned(p, c).groupBy("label").agg(F.count("*").alias("n"), r(F.max("d2")).alias("radius2"))
-
-
-@query()
-def kmeans_lloyd(spark, d):
-    p = features(spark, d)
-    c, residual, rounds = m.kmeans(p, m.farthest_centers(p, K), 10)
-    return m.assigned(p, c).groupBy("label").agg(F.count("*").alias("n"), F.round(F.lit(residual), 6).alias("residual"), F.lit(rounds).alias("rounds"))
-
-
-@query()
-def kmeans_restarts(spark, d):
-    p = features(spark, d)
-    c, residual = m.kmeans_restarts(p, K, 4, 6)
-    return m.assigned(p, c).groupBy("label").agg(F.count("*").alias("n"), F.round(F.lit(residual), 6).alias("residual"))
-
-
-@query()
-def pmeans_criteria(spark, d):
-    """Criteria for 1 to 4 clusters."""
-    p, rows = features(spark, d), []
-    for k in range(1, 5):
-        c, residual, _ = m.kmeans(p, m.farthest_centers(p, k), 8)
-        sizes = [x["count"] for x in m.assigned(p, c).groupBy("label").count().collect()]
-        rows.append((k, min(sizes), *[round(x, 4) for x in m.information_criteria(sum(sizes), DIM, sizes, residual)]))
-    return spark.createDataFrame(rows, "k int, smallest long, aic double, aicc double, bic double")
-
-
 # ---- principal components ----
 
 
 @query(f"""WITH {FEAT}, e AS (SELECT pos, unnest(features) AS v, generate_subscripts(features, 1) - 1 AS j FROM feat), a AS (SELECT j, avg(v) AS m FROM e GROUP BY 1), z AS (SELECT pos, e.j, v - m AS v FROM e JOIN a ON a.j = e.j)
-SELECT p.j AS i, q.j, round(sum(p.v * q.v), 4) AS v FROM z p JOIN z q ON p.pos = q.pos AND p.j < 8 AND q.j < 8 GROUP BY 1, 2""")
+SELECT p.j AS i, q.j, round(sum(p.v * q.v), 4) AS v FROM z p JOIN z q ON p.pos = q.pos GROUP BY 1, 2""")
 def covariance(spark, d):
-    """Scatter matrix of the first eight components."""
-    p = features(spark, d).withColumn("features", F.slice("features", 1, 8))
-    _, s, _ = m.covariance(p, 8)
-    return spark.createDataFrame([(i, j, round(float(s[i, j]), 4)) for i in range(8) for j in range(8)], "i long, j long, v double")
-
-
-@query()
-def covariance_all(spark, d):
     """Scatter matrix of all components."""
     _, s, _ = m.covariance(features(spark, d), DIM)
     return spark.createDataFrame([(i, j, round(float(s[i, j]), 4)) for i in range(DIM) for j in range(DIM)], "i long, j long, v double")
@@ -189,14 +162,14 @@ def low_edgeness_filter(spark, d):
 
 # ---- matrices ----
 
-FIVE_POINT = f"""{PIX}, x0 AS (SELECT (y * {SIDE} + x)::BIGINT AS i, v FROM pix WHERE image_id = 0),
+FIVE_POINT = f"""{PIX}, x0 AS (SELECT ((image_id * {SIDE} + y) * {SIDE} + x)::BIGINT AS i, v FROM pix),
  a AS (SELECT i, i AS j, 5.0 AS v FROM x0 UNION ALL SELECT i, i + 1, -1.0 FROM x0 WHERE i % {SIDE} < {SIDE - 1} UNION ALL SELECT i, i - 1, -1.0 FROM x0 WHERE i % {SIDE} > 0
-  UNION ALL SELECT i, i + {SIDE}, -1.0 FROM x0 WHERE i < {SIDE * (SIDE - 1)} UNION ALL SELECT i, i - {SIDE}, -1.0 FROM x0 WHERE i >= {SIDE})"""
+  UNION ALL SELECT i, i + {SIDE}, -1.0 FROM x0 WHERE i % {SIDE * SIDE} < {SIDE * (SIDE - 1)} UNION ALL SELECT i, i - {SIDE}, -1.0 FROM x0 WHERE i % {SIDE * SIDE} >= {SIDE})"""
 
 
-def five_point(spark, d, images="true"):
+def five_point(spark, d):
     """Pixels of the images, one after another, and a block of the matrix for each image."""
-    x = raster(spark, d).where(images).select(((F.col("image_id") * SIDE + F.col("y")) * SIDE + F.col("x")).cast("long").alias("i"), "v")
+    x = raster(spark, d).select(((F.col("image_id") * SIDE + F.col("y")) * SIDE + F.col("x")).cast("long").alias("i"), "v")
     i, row, place = F.col("i"), F.col("i") % SIDE, F.col("i") % (SIDE * SIDE)
     near = F.array(
         F.struct(i.alias("j"), F.lit(5.0).alias("v")), F.when(row < SIDE - 1, F.struct((i + 1).alias("j"), F.lit(-1.0).alias("v"))), F.when(row > 0, F.struct((i - 1).alias("j"), F.lit(-1.0).alias("v"))),
@@ -207,26 +180,12 @@ def five_point(spark, d, images="true"):
 
 @query(f"WITH {FIVE_POINT} SELECT a.i, round(sum(a.v * x0.v), 4) AS v FROM a JOIN x0 ON x0.i = a.j GROUP BY 1")
 def spmv_coo(spark, d):
-    """Of the first image, as its SQL."""
-    x, a = five_point(spark, d, "image_id = 0")
+    x, a = five_point(spark, d)
     return m.spmv(a, x).select("i", r("v", 4).alias("v"))
 
 
 @query(f"WITH {FIVE_POINT}, s AS (SELECT a.i, sum(a.v * x0.v) AS ax FROM a JOIN x0 ON x0.i = a.j GROUP BY 1) SELECT x0.i, round(x0.v + (1 - ax) / 5, 6) AS v FROM x0 JOIN s ON s.i = x0.i")
 def jacobi_step(spark, d):
-    """Of the first image, as its SQL."""
-    x, a = five_point(spark, d, "image_id = 0")
-    return m.jacobi_step(a, x, x.withColumn("v", F.lit(1.0))).select("i", r("v").alias("v"))
-
-
-@query()
-def spmv_coo_all(spark, d):
-    x, a = five_point(spark, d)
-    return m.spmv(a, x).select("i", r("v", 4).alias("v"))
-
-
-@query()
-def jacobi_step_all(spark, d):
     x, a = five_point(spark, d)
     return m.jacobi_step(a, x, x.withColumn("v", F.lit(1.0))).select("i", r("v").alias("v"))
 
@@ -248,28 +207,18 @@ def dual_ball_project(spark, d):
     return f.select("image_id", "x", "y", r(F.col("gx") / n).alias("px"), r(F.col("gy") / n).alias("py"))
 
 
-@query()
+@query(f"""WITH {FEAT}, e AS (SELECT pos, unnest(features) AS v, generate_subscripts(features, 1) - 1 AS j FROM feat), c AS (SELECT pos, v, row_number() OVER w AS k, sum(v) OVER w AS s FROM e WINDOW w AS (PARTITION BY pos ORDER BY v DESC, j ROWS UNBOUNDED PRECEDING)),
+ t AS (SELECT pos, max((s - 1) / k) AS t FROM c GROUP BY 1) SELECT e.pos, e.j, round(greatest(v - t, 0), 6) AS u FROM e JOIN t ON t.pos = e.pos""")
 def simplex_project(spark, d):
-    def run(batches):
-        for b in batches:
-            u = va.to_simplex(np.array(b["features"].tolist(), float).T).T
-            yield pd.DataFrame({"pos": b["pos"], "u": list(np.round(u, 6))})
-
-    return features(spark, d).select("pos", "features").mapInPandas(run, "pos long, u array<double>")
-
-
-@query()
-def rof_denoise(spark, d):
-    return va.per_image(scaled(spark, d), lambda u, k: va.table_of(k, v=np.round(va.tv_denoise(u, 0.2), 6)), "v double")
+    """The nearest features of at least 0 that sum to 1: what is taken off is the greatest mean excess of the largest ones."""
+    u = features(spark, d).select("pos", F.posexplode(m.on_simplex(F.col("features"))).alias("j", "u"))
+    return u.select("pos", F.col("j").cast("long").alias("j"), r("u").alias("u"))
 
 
-@query()
-def ms_two_phase(spark, d):
-    def make(u, k):
-        labels, _ = va.piecewise_constant(u[None], np.array([[u.min()], [u.max()]]), 4.0)
-        return va.table_of(k, label=labels.astype(np.int32))
-
-    return va.per_image(scaled(spark, d), make, "label int")
+@query(f"WITH {FEAT}, e AS (SELECT pos, unnest(features) AS v, generate_subscripts(features, 1) - 1 AS j FROM feat) SELECT pos, j, round(least(greatest(v, -0.1), 0.1), 6) AS u FROM e")
+def box_project(spark, d):
+    u = features(spark, d).select("pos", F.posexplode(F.transform("features", lambda x: F.least(F.greatest(x, F.lit(-0.1)), F.lit(0.1)))).alias("j", "u"))
+    return u.select("pos", F.col("j").cast("long").alias("j"), r("u").alias("u"))
 
 
 @query()
@@ -282,32 +231,12 @@ def ms_multi_phase(spark, d):
 
 
 @query()
-def fft_modulus(spark, d):
-    def make(u, k):
-        f = va.fft_modulus(u, 5)
-        return va.table_of(k, mean=np.round(f[..., f.shape[-1] // 2], 6), energy=np.round((f**2).sum(-1), 6))
-
-    return va.per_image(scaled(spark, d), make, "mean double, energy double")
-
-
-@query()
-def stockwell(spark, d):
-    def make(u, k):
-        s = np.abs(np.array([va.stockwell(row) for row in u]))
-        return va.table_of(k, modulus=np.round(s, 6))
-
-    return va.per_image(scaled(spark, d), make, "modulus double")
-
-
-@query()
-def phase_correlation(spark, d):
-    def make(u, k):
-        peak = va.phase_correlation(np.roll(u, (3, 5), (0, 1)), u)
-        return va.table_of(k, v=np.round(peak, 6))
-
-    return va.per_image(scaled(spark, d), make, "v double")
+def segment_texture(spark, d):
+    """Texture segmentation with histograms of filter responses, scales and restarts to fit small images."""
+    return sg.segment(scaled(spark, d), sg.texture_options(3, (11, 7), restarts=20, gamma=0.005, ghost_cells=4, edgeness=0.5, most=500))
 
 
 @query()
-def segment_texture(spark, d):
-    return va.segment_textures(scaled(spark, d), 3)
+def segment_crystal(spark, d):
+    """Segmentation by local spectra; the number of segments follows from the energy that is left."""
+    return sg.segment(scaled(spark, d), sg.periodic_options(7, omega=0.02, restarts=20, gamma=0.002, most=500))

@@ -36,19 +36,13 @@ def scalar_functions(spark, d):
     )
 
 
-@query()
-def distribution_functions(spark, d):
-    z = F.col("v") / 100000
-    return vector(spark, d).select("pos", r(scalar.normal_pdf(z, 1.0, 0.5), 8).alias("pdf"), r(scalar.normal_cdf(z, 1.0, 0.5), 6).alias("cdf"), r(scalar.poisson_pmf(F.col("pos") % 20, 6.0), 8).alias("pmf"))
-
-
-@query(f"WITH {SECOND} SELECT round(sum(0.5 * (u / 100 - w) * (u / 100 - w)), 4) AS squared, round(sum((1 + u) - w * ln(1 + u)), 4) AS log_fidelity, round(sum(CASE WHEN u > 50 THEN 1 ELSE u / 50 END), 4) AS clamped FROM vec2")
+@query(f"WITH {SECOND} SELECT round(sum(0.5 * (u / 100 - w) * (u / 100 - w)), 4) AS squared, round(sum((1 + u) - w * ln(1 + u)), 4) AS log_fidelity, round(sum((1 + u) - w * ln(1 + u) + lgamma(w + 1)), 3) AS poisson, round(sum(CASE WHEN u > 50 THEN 1 ELSE u / 50 END), 4) AS clamped FROM vec2")
 def fidelities(spark, d):
-    """Pointwise fidelities, summed: half squares, u - w log u, and a clamped penalty."""
+    """Pointwise fidelities, summed: half squares, u - w log u, the same as the Poisson likelihood of whole numbers w, and a clamped penalty."""
     u, w = F.col("u"), F.col("w")
     x = vector(spark, d).join(second_vector(spark, d), "pos")
     e = u / 100 - w
-    return x.agg(r(F.sum(0.5 * e * e), 4).alias("squared"), r(F.sum((1 + u) - w * F.log(1 + u)), 4).alias("log_fidelity"), r(F.sum(F.when(u > 50, F.lit(1.0)).otherwise(u / 50)), 4).alias("clamped"))
+    return x.agg(r(F.sum(0.5 * e * e), 4).alias("squared"), r(F.sum((1 + u) - w * F.log(1 + u)), 4).alias("log_fidelity"), r(F.sum((1 + u) - w * F.log(1 + u) + F.log(F.factorial(w.cast("int")).cast("double"))), 3).alias("poisson"), r(F.sum(F.when(u > 50, F.lit(1.0)).otherwise(u / 50)), 4).alias("clamped"))
 
 
 LEVELS = f"""{PIX}, p AS (SELECT a.x, a.y, a.v > b.v AS s0, a.v > c.v AS s1, a.v AS v FROM pix a JOIN pix b ON a.x = b.x AND a.y = b.y JOIN pix c ON a.x = c.x AND a.y = c.y WHERE a.image_id = 0 AND b.image_id = 1 AND c.image_id = 2)"""
@@ -60,18 +54,18 @@ def level_sets(spark, d):
     return px.select("v", (F.col("v") > F.col("b")).alias("s0"), (F.col("v") > F.col("c")).alias("s1"))
 
 
-@query(f"WITH {LEVELS} SELECT s0, s1, count(*) AS volume, round(avg(v), 6) AS mean FROM p GROUP BY 1, 2")
+@query(f"WITH {LEVELS} SELECT s0, s1, count(*) AS volume, round(avg(v), 6) AS mean, round(sum(v), 2) AS weighted FROM p GROUP BY 1, 2")
 def level_set_volumes(spark, d):
-    """Volumes and mean values of all sign patterns of two level sets."""
-    return level_sets(spark, d).groupBy("s0", "s1").agg(F.count("*").alias("volume"), r(F.avg("v")).alias("mean"))
+    """Volumes, plain and weighted by value, and mean values of all sign patterns of two level sets."""
+    return level_sets(spark, d).groupBy("s0", "s1").agg(F.count("*").alias("volume"), r(F.avg("v")).alias("mean"), r(F.sum("v"), 2).alias("weighted"))
 
 
-@query(f"WITH {PIX}, h AS (SELECT image_id, v, 0.5 + atan((v - 100) / 50) / pi() AS h FROM pix) SELECT image_id, round(sum(h * v) / sum(h), 6) AS inside, round(sum((1 - h) * v) / sum(1 - h), 6) AS outside, round(sum(h), 4) AS area FROM h GROUP BY 1")
+@query(f"WITH {PIX}, h AS (SELECT image_id, v, 0.5 + atan((v - 100) / 50) / pi() AS h FROM pix) SELECT image_id, round(sum(h * v) / sum(h), 6) AS inside, round(sum((1 - h) * v) / sum(1 - h), 6) AS outside, round(sum(h), 4) AS area, round(sum(h * (v - 150) * (v - 150) + (1 - h) * (v - 50) * (v - 50)), 1) AS energy FROM h GROUP BY 1")
 def chan_vese_means(spark, d):
-    """Mean values inside and outside of a smoothed level set."""
+    """Mean values inside and outside of a smoothed level set, its area, and the energy for the means 150 and 50."""
     px = raster(spark, d).withColumn("h", scalar.heaviside(F.col("v") - 100, 50.0))
     h, v = F.col("h"), F.col("v")
-    return px.groupBy("image_id").agg(r(F.sum(h * v) / F.sum(h)).alias("inside"), r(F.sum((1 - h) * v) / F.sum(1 - h)).alias("outside"), r(F.sum(h), 4).alias("area"))
+    return px.groupBy("image_id").agg(r(F.sum(h * v) / F.sum(h)).alias("inside"), r(F.sum((1 - h) * v) / F.sum(1 - h)).alias("outside"), r(F.sum(h), 4).alias("area"), r(F.sum(h * (v - 150) * (v - 150) + (1 - h) * (v - 50) * (v - 50)), 1).alias("energy"))
 
 
 @query(f"WITH {PIX}, s AS (SELECT image_id, floor(v / 100)::INT AS label, x, y FROM pix) SELECT image_id, label, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM s GROUP BY 1, 2")
@@ -121,7 +115,10 @@ def component_boundaries(spark, d):
     return edge.groupBy("image_id", F.col("label").cast("long").alias("label")).agg(F.count("*").alias("boundary"))
 
 
-@query()
+_U = "(('0x' || substr(md5('0/' || image_id || '/' || x || '/' || y), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query(f"WITH {PIX} SELECT image_id, x, y, CASE WHEN {_U} < 0.05 THEN 0.0 WHEN {_U} < 0.1 THEN 255.0 ELSE v END AS v FROM pix")
 def noise_salt_pepper(spark, d):
     px = raster(spark, d)
     return px.select("image_id", "x", "y", scalar.salt_and_pepper(F.col("v"), F.concat_ws("/", "image_id", "x", "y"), 0.1, 0.0, 255.0).alias("v"))

@@ -167,11 +167,10 @@ def mask_assign(spark, d):
 SELECT i::INT AS bin, round(a + (i + 0.5) / 20 * (b - a), 4) AS center, (SELECT count(*) FROM k WHERE bin = i) AS n FROM range(20) t(i), e""")
 def hist_linear(spark, d):
     x = v.with_extent(vector(spark, d))
-    n = x.groupBy("low", "high", o.bin_of(F.col("v"), F.col("low"), F.col("high"), 20).alias("bin")).count()
-    ends = v.with_extent(spark.range(20).select(F.col("id").cast("int").alias("bin"), F.lit(0.0).alias("z")), v="z").select("bin")
-    span = n.select("low", "high").limit(1)
-    rows = ends.crossJoin(F.broadcast(span)).join(n.select("bin", "count"), "bin", "left")
-    return rows.select("bin", r(F.col("low") + (F.col("bin") + 0.5) / 20 * (F.col("high") - F.col("low"))).alias("center"), F.coalesce("count", F.lit(0)).alias("n"))
+    n = x.groupBy(o.bin_of(F.col("v"), F.col("low"), F.col("high"), 20).alias("bin")).agg(F.count("*").alias("n"))
+    span = x.agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = spark.range(20).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(span)).join(n, "bin", "left")
+    return rows.select("bin", r(F.col("low") + (F.col("bin") + 0.5) / 20 * (F.col("high") - F.col("low"))).alias("center"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""WITH h AS (SELECT l_quantity::INT AS g, count(*) AS c FROM lineitem GROUP BY 1), m AS (SELECT g, c, sum(c) OVER (ORDER BY g) AS cum, sum(c) OVER () AS n, max(g) OVER () AS top FROM h)
@@ -183,7 +182,10 @@ def hist_equalize(spark, d):
     return x.select("g", F.floor(F.col("cum") * F.col("top") / F.col("n")).alias("equalized"), F.col("c").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {VEC}, e AS (SELECT min(v) AS a, max(v) AS b FROM vec), k AS (SELECT least(floor((v - a) * 256 / (b - a)), 255) AS bin, v FROM vec, e),
+ l AS (SELECT list({{'m': s / n, 'n': n, 's': s}}) AS l FROM (SELECT bin, count(*) AS n, sum(v) AS s FROM k GROUP BY 1)),
+ it AS (SELECT 0 AS k, (SELECT avg(v) FROM vec) AS t UNION ALL SELECT k + 1, 0.5 * (list_sum(list_transform(list_filter(l, lambda z: z.m <= t), lambda z: z.s)) / list_sum(list_transform(list_filter(l, lambda z: z.m <= t), lambda z: z.n)) + list_sum(list_transform(list_filter(l, lambda z: z.m > t), lambda z: z.s)) / list_sum(list_transform(list_filter(l, lambda z: z.m > t), lambda z: z.n))) FROM it, l WHERE k < 100)
+SELECT round(t, 3) AS threshold, (SELECT count(*) FROM vec WHERE v > t) AS above FROM it WHERE k = 100""")
 def isodata_threshold(spark, d):
     """Iterated mean of the two class means, on a histogram of 256 bins."""
     x = v.with_extent(vector(spark, d))
@@ -193,10 +195,10 @@ def isodata_threshold(spark, d):
     for _ in range(100):
         low, high = [b for b in rows if b[0] <= t], [b for b in rows if b[0] > t]
         new = sum(sum(s for _, _, s in part) / sum(n for _, n, _ in part) for part in (low, high) if part) / max(1, bool(low) + bool(high))
-        if abs(new - t) < 1e-9 * abs(t):
+        if abs(new - t) < 1e-14 * abs(t):
             break
         t = new
-    return vector(spark, d).agg(F.lit(t).alias("threshold"), F.count_if(F.col("v") > t).alias("above"))
+    return vector(spark, d).agg(F.lit(round(t, 3)).alias("threshold"), F.count_if(F.col("v") > t).alias("above"))
 
 
 @query(f"WITH {MAPS}, g AS (SELECT gt_gray, dense_rank() OVER (ORDER BY gt_gray DESC) - 1 AS label FROM (SELECT DISTINCT gt_gray FROM maps)) SELECT g.gt_gray, label, count(*) AS n FROM maps JOIN g ON maps.gt_gray = g.gt_gray GROUP BY 1, 2")

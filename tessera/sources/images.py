@@ -11,7 +11,7 @@ import gzip
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .formats import decode_ascii, decode_mrc, decode_tags, decode_tiff
+
 #: Element types by the digit in a portable map's or a raw file's header (fixed values of the format).
-KINDS = {"5": "u1", "7": "<i2", "8": "<f4", "9": "<f8", "10": "<u2", "11": "<i4"}
+KINDS = {"5": "u1", "8": "<f4", "9": "<f8", "10": "<u2", "11": "<i2", "33": "<i4", "34": "<u4"}
 META_KINDS = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_USHORT": "u2", "MET_SHORT": "i2", "MET_UINT": "u4", "MET_INT": "i4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -99,8 +101,11 @@ def encode_png(image: np.ndarray) -> bytes:
 
 
 def decode_map(data: bytes) -> np.ndarray:
-    """Portable gray maps P2 and P5, color maps P6, and the typed variants P7 to
-    P11 (two dimensions) and Q with three: a header of sizes and a greatest value, then the elements."""
+    """Portable gray maps P2 and P5, color maps P6, and the typed variants P7
+    (numbers as text), P8 to P11, P33, P34 (two dimensions) and Q with three: a
+    header of sizes and a greatest value, then the elements. P211 is a PNG."""
+    if data[:8] == SIGNATURE:
+        return decode_png(data)
     m = re.match(rb"(?:\s|#[^\n]*\n)*([PQ])(\d+)(?:\s|#[^\n]*\n)+", data)
     if not m:
         raise ValueError("not a portable map")
@@ -111,7 +116,7 @@ def decode_map(data: bytes) -> np.ndarray:
         numbers.append(float(n[1]))
         at = n.end()
     shape = tuple(int(x) for x in numbers[: 2 + volume][::-1])
-    if kind == "2":
+    if kind in ("2", "7"):
         return np.array(data[at:].split(), float).reshape(*shape, 1)
     at += 1
     if kind == "6":
@@ -119,32 +124,49 @@ def decode_map(data: bytes) -> np.ndarray:
     return np.frombuffer(data, KINDS[kind], int(np.prod(shape)), at).reshape(*shape, 1)
 
 
-def encode_map(image: np.ndarray) -> bytes:
-    """P5 for bytes, P9 for anything else."""
+def encode_map(image: np.ndarray, kind: str | None = None) -> bytes:
+    """An image, or with Q a volume, of that kind; by itself P5 for bytes, P9 for anything else."""
     image = np.asarray(image)
-    kind = "5" if image.dtype == np.uint8 else "9"
-    ny, nx = image.shape[:2]
-    return f"P{kind}\n{nx} {ny}\n{int(np.ceil(image.max(initial=0)))}\n".encode() + np.ascontiguousarray(image.reshape(ny, nx), KINDS[kind]).tobytes()
-
-
-def decode_meta(data: bytes) -> np.ndarray:
-    """MetaImage with its elements in the same file."""
+    kind = kind or ("5" if image.dtype == np.uint8 else "9")
+    if kind == "211":
+        return encode_png(image)
+    sizes = " ".join(map(str, image.shape[::-1]))
+    head = f"{'Q' if image.ndim == 3 else 'P'}{kind}\n{sizes}\n{int(np.ceil(image.max(initial=0)))}\n".encode()
+    if kind in ("2", "7"):
+        return head + ("\n".join(" ".join(f"{v:.17g}" for v in row) for row in image.reshape(-1, image.shape[-1])) + "\n").encode()
+    return head + np.ascontiguousarray(image, KINDS[kind]).tobytes()
+
+
+def decode_meta(data: bytes, elements: Callable[[str], bytes] | None = None) -> np.ndarray:
+    """MetaImage; elements gives the content of the file beside it that it may name."""
     fields, at = {}, 0
     while "ElementDataFile" not in fields:
         end = data.index(b"\n", at)
         name, _, value = data[at:end].decode("latin-1").partition("=")
         fields[name.strip()] = value.strip()
         at = end + 1
+    body = data[at:]
     if fields["ElementDataFile"] != "LOCAL":
-        raise ValueError("the elements are in another file")
+        if elements is None:
+            raise ValueError("the elements are in another file")
+        body = elements(fields["ElementDataFile"])
     shape = tuple(int(x) for x in fields["DimSize"].split())[::-1]
-    body = zlib.decompress(data[at:]) if fields.get("CompressedData", "False") == "True" else data[at:]
+    body = zlib.decompress(body) if fields.get("CompressedData", "False") == "True" else body
     order = ">" if fields.get("BinaryDataByteOrderMSB", "False") == "True" else "<"
     channels = int(fields.get("ElementNumberOfChannels", 1))
     return np.frombuffer(body, order + META_KINDS[fields["ElementType"]], int(np.prod(shape)) * channels).reshape(*shape, channels)
 
 
-DECODERS = {".png": decode_png, ".pgm": decode_map, ".ppm": decode_map, ".q2bz": decode_map, ".dat": decode_map, ".mha": decode_meta, ".mhd": decode_meta}
+def encode_meta(image: np.ndarray, beside: str | None = None, compressed: bool = False) -> tuple[bytes, bytes]:
+    """Header and elements of an image or volume; without a name for the elements' file they follow the header."""
+    kind = next(k for k, v in META_KINDS.items() if np.dtype(v) == image.dtype)
+    body = np.ascontiguousarray(image, image.dtype.newbyteorder("<")).tobytes()
+    body = zlib.compress(body) if compressed else body
+    fields = {"ObjectType": "Image", "NDims": image.ndim, "DimSize": " ".join(map(str, image.shape[::-1])), "BinaryDataByteOrderMSB": "False", "CompressedData": str(compressed), "ElementType": kind, "ElementDataFile": beside or "LOCAL"}
+    return "".join(f"{k} = {v}\n" for k, v in fields.items()).encode(), body
+
+
+DECODERS = {".png": decode_png, ".pgm": decode_map, ".ppm": decode_map, ".q2bz": decode_map, ".dat": decode_map, ".mha": decode_meta, ".mhd": decode_meta, ".tif": decode_tiff, ".tiff": decode_tiff, ".mrc": decode_mrc, ".dm3": decode_tags, ".dm4": decode_tags, ".txt": decode_ascii}
 
 
 def decode(name: str, data: bytes) -> np.ndarray:
@@ -167,14 +189,23 @@ def pixel_rows(name: str, image: np.ndarray) -> pd.DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, x, y, z, c, v, nx, ny, nz of all images below path."""
+    """path, x, y, z, c, v, nx, ny, nz of all images below path. Elements that a
+    header names beside it (.mhd with .raw or .zraw) come from the same folder."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, data in zip(b["path"], b["content"], strict=True):
-                yield pixel_rows(name, decode(name, bytes(data)))
+            for name, data, beside in zip(b["path"], b["content"], b["beside"], strict=True):
+                if beside is not None:
+                    yield pixel_rows(name, decode_meta(bytes(data), lambda _, beside=beside: bytes(beside)))
+                else:
+                    yield pixel_rows(name, decode(name, bytes(data)))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    elements = F.col("path").rlike(r"\.z?raw$")
+    folder = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
+    named = F.regexp_extract(F.col("content").cast("string"), r"ElementDataFile\s*=\s*(\S+)", 1)
+    heads = files.where(~elements).withColumn("own", F.when(F.col("path").endswith(".mhd") & (named != "LOCAL"), F.concat(folder, named)))
+    files = heads.join(files.where(elements).select(F.col("path").alias("own"), F.col("content").alias("beside")), "own", "left").select("path", "content", "beside")
     return files.mapInPandas(run, "path string, x int, y int, z int, c int, v double, nx int, ny int, nz int")
 
 
