@@ -76,6 +76,12 @@ def remove_paths(spark: SparkSession, paths: list[str]) -> None:
         remove_path(spark, paths.pop())
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with: it does so
+    when the driver collects garbage, which by itself may be half an hour away."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, remove_path, remove_paths
+from .common import materialise, release_shuffles, remove_path, remove_paths
 
 SKETCH_BITS, CHUNK_BITS = 22, 16
 #: So many sets that share a shingle meet in one task of the last round.
@@ -215,10 +215,11 @@ def bitmap_of(tokens: DataFrame) -> np.ndarray:
     chunks = (1 << BITMAP_BITS) // 8 // chunk
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << BITMAP_BITS, bool)
+        bits = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
         for b in batches:
-            bits[b["token"].to_numpy() & ((1 << BITMAP_BITS) - 1)] = True
-        parts = np.packbits(bits, bitorder="little").reshape(chunks, chunk)
+            cell = b["token"].to_numpy() & ((1 << BITMAP_BITS) - 1)
+            np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
+        parts = bits.reshape(chunks, chunk)
         some = np.flatnonzero(parts.any(1))
         yield pd.DataFrame({"chunk": some.astype(np.int32), "part": [zlib.compress(parts[c].tobytes(), 1) for c in some]})
 
@@ -432,24 +433,29 @@ def live_pairs(shared: DataFrame, bounds: DataFrame, paths: list[str]) -> DataFr
 
 def class_components(docs: DataFrame, profiles: DataFrame, text: str, width: int, percent: int, sketch, paths: list[str], pivots: int = 5) -> DataFrame | None:
     """(s, comp) of the sets that link with another; None if there is none."""
+    spark = docs.sparkSession
+    step: list[str] = []  # what the next table is made of
     often = prefixes(docs, text, sketch, width, percent).select("token").groupBy("token").count().where("count > 1").select("token")
-    often = materialise(often, "often", paths)
-    only = docs.sparkSession.sparkContext.broadcast(bitmap_of(often))
+    often = materialise(often, "often", step)
+    only = spark.sparkContext.broadcast(bitmap_of(often))
     shared = prefixes(docs, text, sketch, width, percent, only).join(often, "token", "left_semi").dropDuplicates(["token", "s"])
-    shared = materialise(with_shared_rank(shared.withColumn("comp", F.col("s"))), "postings", paths)
+    postings: list[str] = []
+    shared = materialise(with_shared_rank(shared.withColumn("comp", F.col("s"))), "postings", postings)
+    remove_paths(spark, step)
     found = sets = tried = labels = None
     turn, last = 0, False
     while True:
         first = F.struct(F.col("np").bitwiseAND(0xFFFFFFFF).alias("at"), "s") if not turn else F.struct(F.xxhash64(F.lit(turn), "s").alias("at"), "s")
         bounds = shared.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("s", "np", "r", "comp"), first).alias("pivot"))
-        bounds = materialise(bounds.where("lo <> hi"), "bounds", paths)  # a plain table: joins with it can be split where a token is frequent
+        bounds = bounds.where("lo <> hi").drop("lo", "hi")
+        bounds = materialise(bounds, "bounds", step)  # a plain table: joins with it can be split where a token is frequent
         if turn:  # pairs that the last round would make, against postings
             load, rows = bounds.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
             last = last or turn >= pivots or (load or 0) <= 32 * (rows or 0)
         if not last:
             pairs = paired(bounds.select("token", "pivot.*").alias("x").join(shared.alias("y"), "token").where("x.comp <> y.comp"), percent)
         else:
-            pairs = paired(live_pairs(shared, bounds, paths), percent)
+            pairs = paired(live_pairs(shared, bounds, step), percent)
             n, m = F.shiftright("i", 32), F.shiftright("j", 32)
             rest = F.least(n - F.col("i").bitwiseAND(0xFFFFFFFF), m - F.col("j").bitwiseAND(0xFFFFFFFF)) - 1
             pairs = pairs.where(F.col("c") + rest >= needed_overlap(n, m, percent))
@@ -457,25 +463,31 @@ def class_components(docs: DataFrame, profiles: DataFrame, text: str, width: int
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs", paths)
+        remove_paths(spark, step)
+        release_shuffles(spark)
         tried = pairs if tried is None else tried.unionByName(pairs)
         fruitless = pairs.isEmpty()
         if not fruitless:
             ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
             if sets is not None:  # not an anti-join, which Spark would move below the distinct
                 ends = ends.join(sets.select("s", F.lit(True).alias("held")), "s", "left").where("held IS NULL").select("s")
-            fresh = materialise(needed_sets(docs, profiles, ends, text, width, paths), "sets", paths)
+            fresh = materialise(needed_sets(docs, profiles, ends, text, width, step), "sets", paths)
+            remove_paths(spark, step)
             sets = fresh if sets is None else sets.unionByName(fresh)
             good = materialise(verified(pairs, sets, percent), "links", paths)
             fruitless = good.isEmpty()
         if not fruitless:
             found = good if found is None else found.unionByName(good)
+            release_shuffles(spark)
             labels = components(found, paths)
         if last:
             break
         if not fruitless:
             shared = shared.drop("comp").join(labels.select(F.col("node").alias("s"), "comp"), "s", "left")
-            shared = materialise(shared.select("token", "s", "np", "r", F.coalesce("comp", "s").alias("comp")), "postings", paths)
+            shared = materialise(shared.select("token", "s", "np", "r", F.coalesce("comp", "s").alias("comp")), "postings", postings)
+            remove_path(spark, postings.pop(0))
         turn, last = turn + 1, fruitless
+    remove_paths(spark, postings)
     return None if labels is None else labels.select(F.col("node").alias("s"), "comp")
 
 

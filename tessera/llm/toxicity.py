@@ -68,7 +68,7 @@ def ngram_counts(docs: DataFrame, text: str) -> DataFrame:
         for b in batches:
             for t in b["t"]:
                 words.update(t.lower().split())
-            if len(words) > 300_000:
+            if len(words) > 200_000:
                 yield _ngrams(words, WIDE)
                 words = Counter()
         if words:
@@ -98,7 +98,7 @@ def _ngrams(words: Counter[str], cells: int = LM_CELLS) -> pd.DataFrame:
                 gram = gram * len(alphabet) + letter[j : j + n]
                 if 0 < j < k - 1:
                     ok &= code[j : j + n] != 10
-            if size <= 1 << 23:  # as many cells as grams there can be
+            if size <= 1 << 21:  # as many cells as grams there can be
                 sums = np.bincount(gram[ok], weight[k - 1 :][ok], size)
                 at = np.flatnonzero(sums)
                 sums = sums[at]
@@ -315,7 +315,7 @@ class Reader:
     """Scores many texts. Most tokens have nothing to say: those met are held in
     two sets, the older of which goes when the younger is full."""
 
-    def __init__(self, restorer: Restorer, scorer: Scorer, most: int = 250_000):
+    def __init__(self, restorer: Restorer, scorer: Scorer, most: int = 150_000):
         self.restorer, self.scorer, self.most = restorer, scorer, most
         self.silent: set[str] = set()
         self.older: set[str] = set()
