@@ -126,6 +126,18 @@ def drawn_centers(points: DataFrame, k: int, seed: int = 0) -> Centers:
     return out
 
 
+def initial_centers(points: DataFrame, k: int, method: str, seed: int = 0, given: Centers | None = None) -> Centers:
+    """By random points, greedy farthest points, weighted draws, or as given."""
+    if method == "given":
+        if given is None or len(given) != k:
+            raise ValueError(f"{k} centers must be given")
+        return given
+    makers = {"random": lambda: first_centers(points, k, seed), "farthest": lambda: farthest_centers(points, k), "drawn": lambda: drawn_centers(points, k, seed)}
+    if method not in makers:
+        raise NotImplementedError(f"centers by {method}")
+    return makers[method]()
+
+
 def cluster_variances(points: DataFrame, centers: Centers) -> tuple[list[int], list[float]]:
     """Sizes of the clusters and their mean squared distances."""
     found = {x["label"]: x for x in assigned(points, centers).groupBy("label").agg(F.count("*").alias("n"), F.avg("d2").alias("v")).collect()}

@@ -305,7 +305,9 @@ def levenberg_marquardt(points: DataFrame, model: Callable[[list[Column]], Colum
 
     cost, g, h = sums(c)
     for _ in range(most):
-        step = np.linalg.solve(h + damping * np.diag(np.maximum(np.diag(h), 1e-12)), g)
+        free = np.ones(n, bool) if low is None else (c > low) | (g > 0)  # at its bound a parameter moves only if it gains
+        step, own = np.zeros(n), h[np.ix_(free, free)]
+        step[free] = np.linalg.solve(own + damping * np.diag(np.maximum(np.diag(own), 1e-12)), g[free])
         new = c + step if low is None else np.maximum(c + step, low)
         new_cost, new_g, new_h = sums(new)
         if new_cost <= cost:

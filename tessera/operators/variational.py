@@ -203,3 +203,68 @@ def table_of(image_id: int, **columns: np.ndarray) -> pd.DataFrame:
 def per_image(px: DataFrame, make, schema: str) -> DataFrame:
     """make(image, image_id) -> rows, for each image by itself."""
     return px.groupBy("image_id").applyInPandas(lambda pdf: make(image_of(pdf), int(pdf["image_id"].iloc[0])), "image_id int, x int, y int, " + schema)
+
+
+def fixed_point_denoise(image: np.ndarray, weight: float, most: int = 500, tau: float = 0.125, eps: float = 0.0) -> np.ndarray:
+    """The same minimiser as tv_denoise's by a fixed point of its dual: image less weight times a divergence."""
+    p = np.zeros((2, *image.shape))
+    for _ in range(most if weight > 0 else 0):
+        g = gradient(divergence(p) - image / weight)
+        new = (p + tau * g) / (1 + tau * np.sqrt((g**2).sum(0)))
+        done = np.abs(new - p).max() < eps
+        p = new
+        if done:
+            break
+    return image - weight * divergence(p)
+
+
+def _conjugate(apply, b: np.ndarray, x: np.ndarray, most: int = 200, eps: float = 1e-8) -> np.ndarray:
+    r = b - apply(x)
+    p, rr = r.copy(), (r * r).sum()
+    stop = eps * eps * max((b * b).sum(), 1e-300)
+    for _ in range(most):
+        if rr <= stop:
+            break
+        ap = apply(p)
+        alpha = rr / (p * ap).sum()
+        x, r = x + alpha * p, r - alpha * ap
+        rr, last = (r * r).sum(), rr
+        p = r + rr / last * p
+    return x
+
+
+def edge_energy(u: np.ndarray, v: np.ndarray, image: np.ndarray, smooth: float, edges: float, width: float) -> float:
+    """Distance to the image, slopes of u where v isn't 0, and the length of the edges where it is."""
+    g, h = gradient(u), gradient(v)
+    return float(((u - image) ** 2).sum() + smooth * ((v**2 + 1e-6) * (g**2).sum(0)).sum() + edges * (width * (h**2).sum() + ((1 - v) ** 2).sum() / (4 * width)))
+
+
+def smoothed_with_edges(image: np.ndarray, smooth: float = 4.0, edges: float = 0.05, width: float = 1.0, rounds: int = 20, eps: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """u smooth but for edges, and v, which is near 0 on them and 1 elsewhere: each
+    in turn solves the linear system that the other leaves, so the energy falls."""
+    u, v = image.copy(), np.ones(image.shape)
+    before = np.inf
+    for _ in range(rounds):
+        k = v**2 + 1e-6
+        u = _conjugate(lambda x: x - smooth * divergence(k * gradient(x)), image, u)  # noqa: B023
+        g = (gradient(u) ** 2).sum(0)
+        v = _conjugate(lambda x: smooth * g * x + edges * (x / (4 * width) - width * divergence(gradient(x))), np.full(image.shape, edges / (4 * width)), v)  # noqa: B023
+        now = edge_energy(u, v, image, smooth, edges, width)
+        if before - now <= eps * abs(now):
+            break
+        before = now
+    return u, v
+
+
+def curve_order(points: np.ndarray) -> np.ndarray:
+    """Rows in the order of a walk that starts at the first and always goes to the nearest one left (the first on ties)."""
+    left = np.arange(len(points))
+    out = []
+    at = 0
+    while len(left):
+        out.append(left[at])
+        here = points[left[at]]
+        left = np.delete(left, at)
+        if len(left):
+            at = int(((points[left] - here) ** 2).sum(1).argmin())
+    return np.array(out, int)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 32
-IMAGES = 4
+#: Orders that make an image; there are four images at least.
+PER_IMAGE = 5000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +29,19 @@ def second_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector(spark, sf_dir).select("pos").join(q, "pos", "left").select("pos", F.coalesce("u", F.lit(0.0)).alias("u"))
 
 
+def image_count(spark: SparkSession, sf_dir: str) -> int:
+    return max(4, table(spark, sf_dir, "orders").count() // PER_IMAGE)
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, x, y, v, nx, ny: IMAGES full grids of whole values."""
+    """image_id, x, y, v, nx, ny: full grids of whole values, as many as the tables are large."""
+    images = image_count(spark, sf_dir)
     sums = (
         table(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_linenumber") % IMAGES).cast("int").alias("image_id"), (F.col("l_partkey") % SIDE).cast("int").alias("x"), (F.col("l_suppkey") % SIDE).cast("int").alias("y"))
+        .groupBy((F.col("l_orderkey") % images).cast("int").alias("image_id"), (F.col("l_partkey") % SIDE).cast("int").alias("x"), (F.col("l_suppkey") % SIDE).cast("int").alias("y"))
         .agg(F.sum("l_quantity").alias("v"))
     )
-    every = spark.range(IMAGES * SIDE * SIDE).select(
+    every = spark.range(images * SIDE * SIDE).select(
         (F.col("id") / (SIDE * SIDE)).cast("int").alias("image_id"), (F.col("id") % SIDE).cast("int").alias("x"), ((F.col("id") / SIDE).cast("long") % SIDE).cast("int").alias("y")
     )
     full = every.join(sums, ["image_id", "x", "y"], "left")
@@ -63,8 +69,8 @@ VEC = "vec AS (SELECT o_orderkey AS pos, o_totalprice AS v, (1 + o_orderkey % 7)
 SECOND = VEC + ", vec2 AS (SELECT vec.pos, vec.v, vec.w, vec.status, coalesce(q.u, 0.0) AS u FROM vec LEFT JOIN (SELECT l_orderkey AS pos, sum(l_quantity) AS u FROM lineitem GROUP BY 1) q ON vec.pos = q.pos)"
 PIX = f"""pix AS (
   SELECT a.image_id, a.x, a.y, coalesce(s.v, 0.0) AS v FROM
-    (SELECT i.i::INT AS image_id, x.i::INT AS x, y.i::INT AS y FROM range({IMAGES}) i(i), range({SIDE}) x(i), range({SIDE}) y(i)) a
-  LEFT JOIN (SELECT (l_linenumber % {IMAGES})::INT AS image_id, (l_partkey % {SIDE})::INT AS x, (l_suppkey % {SIDE})::INT AS y, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3) s
+    (SELECT i.i::INT AS image_id, x.i::INT AS x, y.i::INT AS y FROM (SELECT unnest(range((SELECT greatest(4, count(*) // {PER_IMAGE}) FROM orders)::BIGINT)) AS i) i, range({SIDE}) x(i), range({SIDE}) y(i)) a
+  LEFT JOIN (SELECT (l_orderkey % (SELECT greatest(4, count(*) // {PER_IMAGE}) FROM orders))::INT AS image_id, (l_partkey % {SIDE})::INT AS x, (l_suppkey % {SIDE})::INT AS y, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3) s
   ON a.image_id = s.image_id AND a.x = s.x AND a.y = s.y)"""
 FEAT = "feat AS (SELECT vec_id AS pos, list_transform(embedding, lambda e: e::DOUBLE) AS features, label FROM embeddings)"
 MAPS = "maps AS (SELECT ascii(l_returnflag) AS gt_gray, floor((l_quantity - 1) / 17)::INT AS seg_gray FROM lineitem)"

@@ -93,13 +93,13 @@ def scalar_powers(spark, d):
 
 
 #: The error function by Simpson's rule, as SQL.
-ERF_SQL = "2 / sqrt(pi()) * {z} / 600 * list_sum(list_transform(range(201), lambda i: (CASE WHEN i = 0 OR i = 200 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-({z} * i / 200) * ({z} * i / 200))))"
+ERF_SQL = "2 / sqrt(pi()) * {z} / 2400 * list_sum(list_transform(range(801), lambda i: (CASE WHEN i = 0 OR i = 800 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-({z} * i / 800) * ({z} * i / 800))))"
 
 
-@query(f"WITH {VEC}, x AS (SELECT pos, v / 100000 - 1 AS z FROM vec) SELECT pos, round(degrees(z), 6) AS degrees, round(radians(z), 8) AS radians, round({ERF_SQL.format(z='z')}, 7) AS erf, round(pow(abs(z), 1.5), 7) AS power FROM x")
+@query(f"WITH {VEC}, x AS (SELECT pos, v / 100000 - 1 AS z FROM vec) SELECT pos, round(degrees(z), 6) AS degrees, round(radians(z), 8) AS radians, round({ERF_SQL.format(z='z')}, 6) AS erf, round(pow(abs(z), 1.5), 6) AS power FROM x")
 def scalar_angles_erf(spark, d):
     z = F.col("v") / 100000 - 1
-    return vector(spark, d).select("pos", r(F.degrees(z)).alias("degrees"), r(F.radians(z), 8).alias("radians"), r(scalar.erf(z), 7).alias("erf"), r(F.pow(F.abs(z), F.lit(1.5)), 7).alias("power"))
+    return vector(spark, d).select("pos", r(F.degrees(z)).alias("degrees"), r(F.radians(z), 8).alias("radians"), r(scalar.erf(z), 6).alias("erf"), r(F.pow(F.abs(z), F.lit(1.5)), 6).alias("power"))
 
 
 @query(f"""WITH {VEC}, x AS (SELECT pos, v, CASE pos % 4 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN v ELSE v * (1 + 1e-7) END AS z FROM vec)
@@ -180,14 +180,14 @@ def polynomial_interpolate(spark, d):
 
 
 @query(f"""WITH {VEC}, x AS (SELECT pos, v, w FROM vec), k AS (SELECT i AS k, exp(i * ln(6.0) - 6 - lgamma(i + 1)) AS p FROM range(60) t(i)), c AS (SELECT k, p, sum(p) OVER (ORDER BY k) AS s FROM k)
-SELECT pos, round(exp(-(((v / 100000 - 1) / 0.5) ** 2) / 2) / (0.5 * sqrt(2 * pi())), 8) AS pdf, round(0.5 + 0.5 * {ERF_SQL.format(z='((v / 100000 - 1) / 0.5 / sqrt(2.0))')}, 7) AS cdf,
- round((SELECT p FROM c WHERE k = x.pos % 20), 8) AS pmf, round((SELECT s FROM c WHERE k = x.pos % 20), 8) AS poisson_cdf, (SELECT min(k) FROM c WHERE s >= w / 8)::BIGINT AS poisson_inverse, round(w / 8, 7) AS back FROM x""")
+SELECT pos, round(exp(-(((v / 100000 - 1) / 0.5) ** 2) / 2) / (0.5 * sqrt(2 * pi())), 8) AS pdf, round(0.5 + 0.5 * {ERF_SQL.format(z='((v / 100000 - 1) / 0.5 / sqrt(2.0))')}, 6) AS cdf,
+ round((SELECT p FROM c WHERE k = x.pos % 20), 8) AS pmf, round((SELECT s FROM c WHERE k = x.pos % 20), 8) AS poisson_cdf, (SELECT min(k) FROM c WHERE s >= w / 8)::BIGINT AS poisson_inverse, round(w / 8, 6) AS back FROM x""")
 def distribution_functions(spark, d):
     """Normal and Poisson densities, sums and their inverses; ``back`` is the sum at the inverse of w / 8."""
     z, k = F.col("v") / 100000, F.col("pos") % 20
     return vector(spark, d).select(
-        "pos", r(scalar.normal_pdf(z, 1.0, 0.5), 8).alias("pdf"), r(scalar.normal_cdf(z, 1.0, 0.5), 7).alias("cdf"), r(scalar.poisson_pmf(k, 6.0), 8).alias("pmf"), r(scalar.poisson_cdf(k, 6.0), 8).alias("poisson_cdf"),
-        scalar.poisson_inverse(F.col("w") / 8, 6.0).cast("long").alias("poisson_inverse"), r(scalar.normal_cdf(scalar.normal_inverse(F.col("w") / 8, 3.0, 2.0), 3.0, 2.0), 7).alias("back"),
+        "pos", r(scalar.normal_pdf(z, 1.0, 0.5), 8).alias("pdf"), r(scalar.normal_cdf(z, 1.0, 0.5), 6).alias("cdf"), r(scalar.poisson_pmf(k, 6.0), 8).alias("pmf"), r(scalar.poisson_cdf(k, 6.0), 8).alias("poisson_cdf"),
+        scalar.poisson_inverse(F.col("w") / 8, 6.0).cast("long").alias("poisson_inverse"), r(scalar.normal_cdf(scalar.normal_inverse(F.col("w") / 8, 3.0, 2.0), 3.0, 2.0), 6).alias("back"),
     )
 
 

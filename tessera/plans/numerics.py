@@ -88,7 +88,7 @@ def numeric_searches(spark, d):
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in rows.items()], "name string, value double")
 
 
-@query(f"WITH {SECOND} SELECT round(regr_intercept(v / 1000, u), 3) AS a, round(regr_slope(v / 1000, u), 4) AS b, round(greatest(regr_intercept(v / 1000, u), 0), 3) AS bounded_a FROM vec2")
+@query(f"WITH {SECOND} SELECT round(regr_intercept(v / 1000, u), 3) AS a, round(regr_slope(v / 1000, u), 4) AS b, round(CASE WHEN regr_slope(v / 1000, u) >= 0 THEN regr_intercept(v / 1000, u) ELSE avg(v / 1000) END, 3) AS bounded_a FROM vec2")
 def levenberg_marquardt(spark, d):
     """A straight line by damped steps, where the answer is known in closed form; and with parameters held at 0 or above."""
     x = vector(spark, d).join(second_vector(spark, d), "pos").select("u", (F.col("v") / 1000).alias("y")).cache()
@@ -266,12 +266,12 @@ def pmeans(spark, d):
 GRAM = f"{PIX}, a AS (SELECT x, y, avg(v) AS m FROM pix GROUP BY 1, 2), z AS (SELECT image_id, pix.x, pix.y, v - m AS v FROM pix JOIN a ON a.x = pix.x AND a.y = pix.y)"
 
 
-@query(f"WITH {GRAM}, g AS (SELECT p.image_id AS i, q.image_id AS j, sum(p.v * q.v) AS v FROM z p JOIN z q ON q.x = p.x AND q.y = p.y GROUP BY 1, 2) SELECT i, j, round(v, 2) AS v, round((SELECT sum(v) FROM g WHERE i = j), 1) AS energy FROM g")
+@query(f"WITH {GRAM}, g AS (SELECT p.image_id AS i, q.image_id AS j, sum(p.v * q.v) AS v FROM z p JOIN z q ON q.x = p.x AND q.y = p.y GROUP BY 1, 2) SELECT i, j, round(v, 2) AS v, round((SELECT sum(v) FROM g WHERE i = j) / 1000) AS energy FROM g")
 def image_gram(spark, d):
-    """Products of all images with each other after their mean image is taken off, and the energy that all modes share."""
+    """Products of all images with each other after their mean image is taken off, and the energy, in thousands, that all modes share."""
     gram = m.gram(raster(spark, d))
     _, variances, _ = m.modes(gram)
-    return gram.select("i", "j", r("v", 2).alias("v"), F.lit(round(float(variances.sum()), 1)).alias("energy"))
+    return gram.select("i", "j", r("v", 2).alias("v"), F.lit(float(round(variances.sum() / 1000))).alias("energy"))
 
 
 @query()
@@ -367,3 +367,43 @@ def ms_two_phase_means(spark, d):
 
     return va.per_image(scaled(spark, d), make, "label int, mean double")
 
+
+@query(f"""{SCALED}, it AS (SELECT 0 AS k, image_id, x, y, v, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q FROM u
+ UNION ALL SELECT k + 1, image_id, x, y, v, (p + 0.125 * gp) / (1 + 0.125 * sqrt(gp * gp + gq * gq)), (q + 0.125 * gq) / (1 + 0.125 * sqrt(gp * gp + gq * gq)) FROM
+  (SELECT *, coalesce(lead(e) OVER h - e, 0) AS gp, coalesce(lead(e) OVER w - e, 0) AS gq FROM
+   (SELECT *, p - coalesce(lag(p) OVER h, 0) + q - coalesce(lag(q) OVER w, 0) - v / 0.2 AS e FROM it WHERE k < 40 {WINDOWS}) {WINDOWS}))
+SELECT image_id, x, y, round(v - 0.2 * (p - coalesce(lag(p) OVER h, 0) + q - coalesce(lag(q) OVER w, 0)), 6) AS v FROM it WHERE k = 40 {WINDOWS}""")
+def rof_fixed_point(spark, d):
+    """Forty steps of the dual fixed point for total variation denoising."""
+    from .learning import scaled
+
+    return va.per_image(scaled(spark, d), lambda u, k: va.table_of(k, v=np.round(va.fixed_point_denoise(u, 0.2, 40), 6)), "v double")
+
+
+@query()
+def edges_and_smoothing(spark, d):
+    """Images smoothed but for their edges, and where those are."""
+    from .learning import scaled
+
+    def make(u, k):
+        smooth, edge = va.smoothed_with_edges(u)
+        return va.table_of(k, v=smooth.round(5), edge=edge.round(5))
+
+    return va.per_image(scaled(spark, d), make, "v double, edge double")
+
+
+@query(f"""WITH RECURSIVE {PIX}, f AS (SELECT p.image_id, p.x, p.y, max(q.v) AS top FROM pix p JOIN pix q ON q.image_id = p.image_id AND q.x BETWEEN p.x - 4 AND p.x + 4 AND q.y BETWEEN p.y - 4 AND p.y + 4 GROUP BY 1, 2, 3),
+ m AS (SELECT p.image_id, p.x, p.y, p.y * {N} + p.x AS pos FROM pix p JOIN f ON f.image_id = p.image_id AND f.x = p.x AND f.y = p.y WHERE p.v >= top AND p.x BETWEEN 4 AND {N - 5} AND p.y BETWEEN 4 AND {N - 5}),
+ walk AS (SELECT image_id, 0 AS place, min(pos) AS pos, [min(pos)] AS gone FROM m GROUP BY 1
+  UNION ALL SELECT image_id, place + 1, n, list_append(gone, n) FROM (SELECT w.image_id, w.place, w.gone, arg_min(m.pos, {{'d': (m.x - w.pos % {N}) ** 2 + (m.y - w.pos // {N}) ** 2, 'pos': m.pos}}) AS n FROM walk w JOIN m ON m.image_id = w.image_id AND NOT list_contains(w.gone, m.pos) GROUP BY 1, 2, 3))
+SELECT image_id, place, (pos % {N})::INT AS x, (pos // {N})::INT AS y FROM walk""")
+def curve_points(spark, d):
+    """The local maxima of every image as a walk from the first to the nearest one left."""
+    top = g.local_maxima(raster(spark, d), 4).select("image_id", "x", "y")
+
+    def walk(pdf):
+        pdf = pdf.sort_values(["y", "x"])
+        order = va.curve_order(pdf[["x", "y"]].to_numpy(float))
+        return pdf.iloc[order].assign(place=np.arange(len(pdf), dtype=np.int32))
+
+    return top.groupBy("image_id").applyInPandas(walk, "image_id int, x int, y int, place int")

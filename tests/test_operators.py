@@ -180,6 +180,12 @@ def test_kmeans_lowers_the_residual(spark):
     before = m.lloyd_round(df, [start])[1][0]
     centers, residual, _ = m.kmeans(df, start)
     assert residual**2 <= before and sorted(round(c[0]) for c in centers) == [0, 3, 6]
+    for method in ("random", "farthest", "drawn"):
+        assert len(m.initial_centers(df, 3, method)) == 3
+    assert m.initial_centers(df, 1, "given", given=[[1.0, 2, 3]]) == [[1.0, 2, 3]]
+    for method, error in (("given", ValueError), ("components", NotImplementedError)):
+        with pytest.raises(error):
+            m.initial_centers(df, 3, method)
     _, values, vectors = m.principal_components(df, 3, 1.0)
     c = x - x.mean(0)
     assert np.allclose(values, np.linalg.eigvalsh(c.T @ c)[::-1]) and np.allclose(vectors.T @ vectors, np.eye(3))
@@ -198,6 +204,12 @@ def test_simplex_and_denoising():
         u = va.tv_denoise(noisy, w, 3000, 0.0)
         assert energy(u, w) <= min(energy(np.full_like(noisy, noisy.mean()), w), energy(noisy, w)) * (1 + 1e-4)
         assert all(energy(u, w) <= energy(u + 0.01 * np.random.default_rng(k).normal(size=u.shape), w) for k in range(3))
+    assert np.allclose(va.fixed_point_denoise(noisy, 0.3, 6000), va.tv_denoise(noisy, 0.3, 6000, 0.0), atol=2e-3)
+    smooth, edge = va.smoothed_with_edges(noisy)
+    assert va.edge_energy(smooth, edge, noisy, 4.0, 0.05, 1.0) < va.edge_energy(noisy, np.ones_like(noisy), noisy, 4.0, 0.05, 1.0)
+    assert edge[:, 7].mean() < 0.6 * edge[:, 2].mean()
+    walk = va.curve_order(np.array([[0, 0], [9, 0], [1, 0], [2, 0.0], [0, 0]]))
+    assert walk.tolist() == [0, 4, 2, 3, 1]
     hard, means = va.two_phase_segment(noisy[None], np.array([[0.2], [0.8]]), 0.25)
     assert (hard == step).mean() > 0.99 and abs(means[1, 0] - 1) < 0.15
     labels, _ = va.piecewise_constant(noisy[None], np.array([[0.2], [0.8]]), 4.0)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.plans import catalogue
-from tessera.plans.bindings import IMAGES, SIDE, features, raster
+from tessera.plans.bindings import SIDE, features, image_count, raster
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -40,7 +40,7 @@ def test_simplex_of_all_components(spark, points):
 
 
 def test_matrix_queries_of_all_images(spark):
-    u = np.zeros((IMAGES, SIDE, SIDE))
+    u = np.zeros((image_count(spark, DATA), SIDE, SIDE))
     for r in raster(spark, DATA).collect():
         u[r["image_id"], r["y"], r["x"]] = r["v"]
     ax = 5 * u
@@ -51,3 +51,45 @@ def test_matrix_queries_of_all_images(spark):
     for name, want in (("spmv_coo", ax), ("jacobi_step", u + (1 - ax) / 5)):
         got = {r["i"]: r["v"] for r in catalogue.QUERIES[name](spark, DATA).collect()}
         assert len(got) == want.size and np.abs(np.array([got[i] for i in range(want.size)]) - want.ravel()).max() < 1e-4
+
+
+def test_principal_components_of_all_features(spark, points):
+    keys = sorted(points)
+    x = np.array([points[k] for k in keys])
+    z = x - x.mean(0)
+    values, vectors = np.linalg.eigh(z.T @ z)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    got = [r["energy"] for r in catalogue.QUERIES["pca_energy"](spark, DATA).orderBy("k").collect()]
+    assert np.allclose(got, values[: len(got)], atol=1e-4)
+    assert values[: len(got)].sum() >= 0.8 * values.sum() > values[: len(got) - 1].sum()
+    rows = {r["pos"]: np.array(r["c"]) for r in catalogue.QUERIES["pca_project"](spark, DATA).collect()}
+    got = np.array([rows[k] for k in keys])
+    assert np.allclose(np.abs(got), np.abs(z @ vectors[:, :4]), atol=1e-4) and np.allclose(got.T @ got, np.diag(values[:4]), atol=1e-2)
+
+
+def test_restarts_against_each_start_by_itself(spark, points):
+    from tessera.operators import learning as m
+    from tessera.plans.learning import K
+
+    p = features(spark, DATA)
+    keys = sorted(points)
+    x, best = np.array([points[k] for k in keys]), np.inf
+    for seed in range(10):
+        c = np.array(m.first_centers(p, K, seed))
+        for _ in range(20):
+            label = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.array([x[label == k].mean(0) if (label == k).any() else np.zeros(x.shape[1]) for k in range(K)])
+        best = min(best, ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum())
+    rows = catalogue.QUERIES["kmeans_restarts"](spark, DATA).collect()
+    assert sum(r["n"] for r in rows) == len(x) and all(abs(r["residual"] ** 2 - best) < 1e-3 * best for r in rows)
+
+
+def test_modes_of_the_images(spark):
+    n = image_count(spark, DATA)
+    u = np.zeros((n, SIDE, SIDE))
+    for r in raster(spark, DATA).collect():
+        u[r["image_id"], r["y"], r["x"]] = r["v"]
+    z = (u - u.mean(0)).reshape(n, -1)
+    want = np.linalg.eigvalsh(z @ z.T)[::-1]
+    got = [r["variance"] for r in catalogue.QUERIES["image_modes"](spark, DATA).orderBy("mode").collect()]
+    assert np.allclose(got, want, atol=1e-6 * want[0])
