@@ -64,7 +64,7 @@ SPAM_SEEDS = (
     "malware", "payday", "pharma", "phish", "pills", "poker", "popup", "porn", "replica", "slots", "spam", "track", "viagra", "warez", "xxx",
 )
 #: Parts that hosts are dealt to when the threshold is set.
-FOLDS = 4
+FOLDS = 2
 
 
 def host_of(url: Column) -> Column:
@@ -149,14 +149,17 @@ class FoldCounts:
         self.keys, self.n = keys, n  # n: [fold, class, key]
 
     def all(self) -> Counts:
-        return Counts(self.keys, self.n.sum(0, dtype=np.int64))
+        return Counts(self.keys, self.n.sum(0, dtype=self.n.dtype))
 
     def without(self, fold: int) -> Counts:
-        return Counts(self.keys, self.n.sum(0, dtype=np.int64) - self.n[fold])
+        return Counts(self.keys, self.n.sum(0, dtype=self.n.dtype) - self.n[fold])
 
 
 def count_tables(labelled: DataFrame) -> FoldCounts:
-    """Of all grams and contexts of all rows of labelled (url, y, fold)."""
+    """Of all grams and contexts of all rows of labelled (url, y, fold). The driver
+    gets a row for each distinct gram: its key, and a number a class and fold, of
+    four bytes where all characters together are few enough."""
+    names = [f"n{k}" for k in range(2 * FOLDS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -165,16 +168,13 @@ def count_tables(labelled: DataFrame) -> FoldCounts:
                 for k in range(ORDER):
                     for kind, cells in enumerate((grams(urls, k + 1, WIDE)[0], contexts(urls, k, WIDE))):
                         found, n = np.unique(key(k, kind, cells), return_counts=True)
-                        yield pd.DataFrame({"key": found, "part": np.int8(2 * fold + y), "n": n})
-
-    rows = labelled.mapInPandas(run, "key long, part byte, n long").groupBy("key", "part").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()
-    keys, at = np.unique(found["key"].to_numpy(np.int64), return_inverse=True)
-    n = np.zeros((2 * FOLDS, len(keys)), np.int64)
-    n[found["part"].to_numpy(np.int64), at] = found["n"]
-    if n.max(initial=0) < 1 << 31:
-        n = n.astype(np.int32)
-    return FoldCounts(keys, n.reshape(FOLDS, 2, -1))
+                        yield pd.DataFrame({"key": found, **dict.fromkeys(names, 0), names[2 * fold + y]: n})
+
+    most = labelled.agg(F.sum(F.length("url") + 1)).first()[0] or 0
+    kind = "int" if most < 1 << 31 else "long"
+    rows = labelled.mapInPandas(run, "key long, " + ", ".join(f"{n} long" for n in names))
+    found = rows.groupBy("key").agg(*[F.sum(n).cast(kind).alias(n) for n in names]).toPandas().sort_values("key")
+    return FoldCounts(found["key"].to_numpy(np.int64), found[names].to_numpy(np.int32 if kind == "int" else np.int64).T.reshape(FOLDS, 2, -1).copy())
 
 
 def scores(urls: list[str], tables: np.ndarray | Counts, strength: float = 4.0, alphabet: int = 256) -> np.ndarray:
