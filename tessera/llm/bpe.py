@@ -189,7 +189,8 @@ class WordBpe:
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece, 32 bits each."""
-        cut = [self.find(p.lower() if p.isascii() else self.normalise(p)) for p in pieces]
+        # a piece of ASCII letters alone is one word
+        cut = [((p.lower(),) if p.isalpha() else self.find(p.lower())) if p.isascii() else self.find(self.normalise(p)) for p in pieces]
         fresh = [w for w in {w for words in cut for w in words} if self.words.lacks(w)]
         known = dict(zip(fresh, self._encode_words(fresh), strict=True))
         words = self.words
