@@ -62,12 +62,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: Arrow batches of fewer rows than Spark's default hold
-    a Python worker's memory down. A session setting, as plans read it when they run."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Texts can be long: Arrow batches of fewer rows than Spark's default, and of
+    bounded bytes, hold a Python worker's memory down. Session settings, as plans
+    read them when they run; they are only ever lowered."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or int(now) > most:
+            spark.conf.set(name, str(most))
 
 
 def remove_paths(spark: SparkSession, paths: list[str]) -> None:
