@@ -140,7 +140,7 @@ def inverse_sql(rounds: int) -> str:
         out += f""", c{k} AS (SELECT image_id, x, y, least(greatest(x + dx, 0), {N - 1}) AS u, least(greatest(y + dy, 0), {N - 1}) AS w FROM {last}),
  e{k + 1} AS (SELECT c.image_id, c.x, c.y, -sum(p.dx * (1 - abs(u - p.x)) * (1 - abs(w - p.y))) AS dx, -sum(p.dy * (1 - abs(u - p.x)) * (1 - abs(w - p.y))) AS dy FROM c{k} c JOIN f p ON p.image_id = c.image_id AND abs(u - p.x) < 1 AND abs(w - p.y) < 1 GROUP BY 1, 2, 3)"""
         last = f"e{k + 1}"
-    return out + f" SELECT image_id, x, y, round(dx, 6) AS dx, round(dy, 6) AS dy FROM {last}"
+    return out + f" SELECT image_id, x, y, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy FROM {last}"
 
 
 @query(inverse_sql(4))

@@ -81,7 +81,7 @@ def vec_interpolate(spark, d):
     return v.interpolated(x, places, x.count()).select("place", r("v", 4).alias("v"))
 
 
-@query(f"""WITH {VEC}, x AS (SELECT pos, v / 100000 - 1 AS z FROM vec) SELECT pos, round(z * z, 8) AS square, round(z * z * z, 8) AS cube, round(z * z * z * z, 8) AS fourth,
+@query(f"""WITH {VEC}, x AS (SELECT pos, v / 100000 - 1 AS z FROM vec) SELECT pos, round(z * z, 8) AS square, round(z * z * z, 8) + 0.0 AS cube, round(z * z * z * z, 8) AS fourth,
  round(0.5 * (1 + z / sqrt(z * z + 0.01)), 8) AS max_slope, round(0.5 * (1 - z / sqrt(z * z + 0.01)), 8) AS min_slope, round(z * 10)::BIGINT AS rint, CASE WHEN z < 0 THEN -1::DOUBLE ELSE 1::DOUBLE END AS sign1 FROM x""")
 def scalar_powers(spark, d):
     z = F.col("v") / 100000 - 1

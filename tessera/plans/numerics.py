@@ -150,7 +150,7 @@ def farthest_sql(k: int) -> str:
 
 def final_sql(head: str, last: str) -> str:
     return f"""WITH {FEAT}{head}, z AS (SELECT p.pos, min({{'d': list_sum(list_transform(list_zip(p.features, c.f), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': c.k}}) AS m FROM feat p CROSS JOIN {last} c GROUP BY 1)
-SELECT m.k AS label, count(*) AS n, round(max(m.d), 5) AS radius2, round((SELECT sqrt(sum(m.d)) FROM z), 5) AS residual FROM z GROUP BY 1"""
+SELECT m.k::BIGINT AS label, count(*) AS n, round(max(m.d), 5) AS radius2, round((SELECT sqrt(sum(m.d)) FROM z), 5) AS residual FROM z GROUP BY 1"""
 
 
 def summary(spark, p, centers):

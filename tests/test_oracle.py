@@ -23,7 +23,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda x: None if x is None or x != x else round(float(x), 4) if isinstance(x, float) else x
+    plain = lambda x: None if x is None or x != x else round(float(x), 4) + 0.0 if isinstance(x, float) else x
     return sorted((tuple(plain(x.item() if hasattr(x, "item") else x) for x in r) for r in frame.itertuples(index=False)), key=repr)
 
 
