@@ -236,22 +236,58 @@ def projected(points: DataFrame, mean: np.ndarray, vectors: np.ndarray) -> DataF
 
 
 def gram(px: DataFrame) -> DataFrame:
-    """(i, j, v): products of all images after their mean image is taken off, by a
-    join on the pixel. Few images of many pixels: their table is what is small."""
+    """(i, j, v): products of all images after their mean image is taken off; a pixel
+    that an image lacks adds nothing. A task gets two blocks of images with a share
+    of the pixels, as a join on the pixel would make a row for each pixel and pair of images."""
+    size = px.agg(F.count_distinct("image_id"), F.count_distinct("x", "y")).first()
+    blocks, shares = (max(1, -(-n // most)) for n, most in zip(size, (256, 4096), strict=True))
     mean = px.groupBy("x", "y").agg(F.avg("v").alias("__m"))
     z = px.join(mean, ["x", "y"]).select("image_id", "x", "y", (F.col("v") - F.col("__m")).alias("v"))
-    other = z.select(F.col("image_id").alias("j"), "x", "y", F.col("v").alias("w"))
-    return z.join(other, ["x", "y"]).groupBy(F.col("image_id").alias("i"), "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    code = (F.shiftleft(F.col("y").cast("long"), 32) + F.col("x")).alias("at")
+    z = z.groupBy("image_id", F.pmod(F.xxhash64("x", "y"), F.lit(shares)).alias("share")).agg(F.collect_list(F.struct(code, "v")).alias("z"))
+    own = F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int")
+    z = z.select("image_id", "share", F.col("z.at").alias("at"), F.col("z.v").alias("v"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    z = z.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+
+    def products(rows: pd.DataFrame) -> pd.DataFrame:
+        places = np.unique(np.concatenate(rows["at"].to_numpy()))
+        x = np.zeros((len(rows), len(places)))
+        for line, at, v in zip(x, rows["at"], rows["v"], strict=True):
+            line[np.searchsorted(places, at)] = v
+        ids, left = rows["image_id"].to_numpy(), (rows["own"] == rows["a"]).to_numpy()
+        right = (rows["own"] == rows["b"]).to_numpy()
+        v = x[left] @ x[right].T
+        i, j = np.repeat(ids[left], right.sum()), np.tile(ids[right], left.sum())
+        out = pd.DataFrame({"i": i, "j": j, "v": v.ravel()})
+        if rows["a"].iloc[0] == rows["b"].iloc[0]:
+            return out
+        return pd.concat([out, out.rename(columns={"i": "j", "j": "i"})[["i", "j", "v"]]])
+
+    kind = px.schema["image_id"].dataType.simpleString()
+    parts = z.groupBy("a", "b", "share").applyInPandas(products, f"i {kind}, j {kind}, v double")
+    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def square_matrix(entries: DataFrame) -> tuple[list[int], np.ndarray]:
+    """Ids and matrix of a table (i, j, v), on the driver, as columns: rows of Python would take many times its room."""
+    found = entries.select("i", "j", "v").toArrow()
+    i, j, v = (found.column(c).to_numpy() for c in ("i", "j", "v"))
+    ids = np.unique(i)
+    a = np.zeros((len(ids), len(ids)))
+    a[np.searchsorted(ids, i), np.searchsorted(ids, j)] = v
+    return ids.tolist(), a
+
+
+def energy(px: DataFrame) -> DataFrame:
+    """energy, one row: of all images after their mean image is taken off. It is the sum of the variances of all modes."""
+    mean = px.groupBy("x", "y").agg(F.avg("v").alias("__m"))
+    return px.join(mean, ["x", "y"]).agg(F.sum((F.col("v") - F.col("__m")) * (F.col("v") - F.col("__m"))).alias("energy"))
 
 
 def modes(products: DataFrame, steps: int = 500, eps: float = 1e-12) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Ids, variances and coefficients of the modes of the images behind a table
     of products: the largest eigenvalue by power steps, then taken off."""
-    rows = products.collect()  # images squared
-    ids = sorted({x["i"] for x in rows})
-    a = np.zeros((len(ids), len(ids)))
-    for x in rows:
-        a[ids.index(x["i"]), ids.index(x["j"])] = x["v"]
+    ids, a = square_matrix(products)
     values, vectors = [], []
     for k in range(len(ids)):
         v = np.cos(np.arange(1, len(ids) + 1) * (k + 1.0))

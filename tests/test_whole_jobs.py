@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tessera.operators import learning
 from tessera.plans import catalogue
 from tessera.plans.bindings import SIDE, features, image_count, raster
 
@@ -96,6 +97,19 @@ def test_modes_of_the_images(spark):
     assert np.allclose(got, want, atol=1e-6 * want[0])
 
 
+def test_gram_in_blocks_of_images_and_shares_of_pixels(spark):
+    u = np.random.default_rng(4).normal(size=(300, 2, 3))  # two blocks
+    px = spark.createDataFrame([(i, x, y, float(u[i, y, x])) for i in range(300) for y in range(2) for x in range(3)], "image_id int, x int, y int, v double")
+    z = (u - u.mean(0)).reshape(300, -1)
+    rows = learning.gram(px)
+    _, got = learning.square_matrix(rows)
+    assert rows.count() == 300 * 300 and np.allclose(got, z @ z.T)
+    big = np.random.default_rng(5).normal(size=(2, 80, 80))  # two shares
+    px = spark.createDataFrame([(i, x, y, float(big[i, y, x])) for i in range(2) for y in range(80) for x in range(80)], "image_id int, x int, y int, v double")
+    z = (big - big.mean(0)).reshape(2, -1)
+    assert np.allclose(learning.square_matrix(learning.gram(px))[1], z @ z.T)
+
+
 def test_paths_of_large_keys_and_nulls(spark, tmp_path):
     at = str(tmp_path)
     spark.createDataFrame([(7, "F"), (999_999, "O"), (1_000_000, "O"), (8_999_998, "F"), (8_999_999, None), (10, None)], "o_orderkey long, o_orderstatus string").write.parquet(f"{at}/orders.parquet")
