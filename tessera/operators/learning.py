@@ -284,6 +284,46 @@ def energy(px: DataFrame) -> DataFrame:
     return px.join(mean, ["x", "y"]).agg(F.sum((F.col("v") - F.col("__m")) * (F.col("v") - F.col("__m"))).alias("energy"))
 
 
+def pixel_products(px: DataFrame) -> DataFrame:
+    """(i, j, v): products of all pixels, summed over images, after the mean image is
+    taken off; i <= j are places in scan order. A task sums a matrix of its images."""
+    places = px.groupBy("x", "y").agg(F.avg("v").alias("__m")).orderBy("y", "x").toArrow().to_pandas()
+    n = len(places)
+    places["place"] = np.arange(n, dtype=np.int32)
+    z = px.join(F.broadcast(px.sparkSession.createDataFrame(places)), ["x", "y"]).select("image_id", F.struct("place", (F.col("v") - F.col("__m")).alias("v")).alias("z"))
+    images = z.groupBy("image_id").agg(F.collect_list("z").alias("z")).select(F.col("z.place").alias("place"), F.col("z.v").alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, n))
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                x = np.zeros((len(part), n))
+                for row, place, v in zip(x, part["place"], part["v"], strict=True):
+                    row[place] = v
+                total += x.T @ x
+        for k in range(0, n, 64):  # bounded frames
+            i, j = np.nonzero(np.arange(k, min(k + 64, n))[:, None] <= np.arange(n))
+            yield pd.DataFrame({"i": (i + k).astype(np.int32), "j": j.astype(np.int32), "v": total[i + k, j]})
+
+    return images.mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def mode_variances(px: DataFrame) -> np.ndarray:
+    """Variances of the modes of all images, largest first, as many as images: from the
+    products of images or, where there are more images than pixels, from those of
+    pixels, which leave out zeros only. So the driver never holds more than the smaller matrix."""
+    images = px.select("image_id").distinct().count()
+    pixels = px.select("x", "y").distinct().count()
+    if images <= pixels:
+        _, a = square_matrix(gram(px))
+    else:
+        _, a = square_matrix(pixel_products(px))
+        a = np.triu(a) + np.triu(a, 1).T
+    values = np.maximum(np.linalg.eigvalsh(a)[::-1], 0.0)
+    return np.concatenate([values, np.zeros(max(0, images - len(values)))])
+
+
 def modes(products: DataFrame, steps: int = 500, eps: float = 1e-12) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Ids, variances and coefficients of the modes of the images behind a table
     of products: the largest eigenvalue by power steps, then taken off."""

@@ -97,6 +97,27 @@ def test_modes_of_the_images(spark):
     assert np.allclose(got, want, atol=1e-6 * want[0])
 
 
+@pytest.mark.parametrize("images", [3, 40])
+def test_mode_variances_of_few_and_many_images(spark, images):
+    u = np.random.default_rng(2).normal(size=(images, 3, 4))
+    px = spark.createDataFrame([(i, x, y, float(u[i, y, x])) for i in range(images) for y in range(3) for x in range(4)], "image_id int, x int, y int, v double")
+    z = (u - u.mean(0)).reshape(images, -1)
+    want = np.linalg.eigvalsh(z @ z.T)[::-1]
+    assert np.allclose(learning.mode_variances(px), want, atol=1e-9 * want[0])
+    assert np.isclose(learning.energy(px).first()[0], want.sum())
+
+
+def test_products_of_images_stay_off_the_driver(spark, monkeypatch):
+    def collected(*_):
+        raise AssertionError("the products are collected")
+
+    monkeypatch.setattr(learning, "modes", collected)
+    assert catalogue.QUERIES["image_gram"](spark, DATA).count() == image_count(spark, DATA) ** 2
+    monkeypatch.setattr(learning, "gram", collected)
+    px = raster(spark, DATA).where("x < 1 AND y < 2")  # more images than pixels: only the pixels' products are looked at
+    assert len(learning.mode_variances(px)) == image_count(spark, DATA)
+
+
 def test_gram_in_blocks_of_images_and_shares_of_pixels(spark):
     u = np.random.default_rng(4).normal(size=(300, 2, 3))  # two blocks
     px = spark.createDataFrame([(i, x, y, float(u[i, y, x])) for i in range(300) for y in range(2) for x in range(3)], "image_id int, x int, y int, v double")
