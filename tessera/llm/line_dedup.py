@@ -2,8 +2,9 @@
 
 A line's key is the line without white space at both ends, A-Z lower-cased, as
 a 128-bit hash. ``LineRuns`` keeps, for the keys seen so far, how many
-documents hold them, in runs sorted by hash and bucketed alike, so that joins
-and merges of runs need no shuffle. A new batch of documents is counted,
+documents hold them, in runs sorted by hash. Runs are far smaller than documents
+and in as few files as their size asks for: each file costs its writer time and a
+process for the file's mode on local disks, while dealing runs anew costs little. A new batch of documents is counted,
 merge-anti-joined with the runs of keys already known to be common (their
 lines go whatever else comes) and added as a run of level 0. When a level has
 ``fanout`` runs they are merged into one of the next level, and keys that have
@@ -24,13 +25,12 @@ they are; working columns start with ``__line_``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, fresh_path, materialise, remove_path, shuffle_partitions
+from .common import ASCII_SPACE, ascii_lower, fresh_path, materialise, remove_path
 
 KEY = ("__line_a", "__line_b")
 #: So many common keys, of 16 bytes each, are sent to every task.
@@ -58,23 +58,22 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, min_chars: int = 1, fanout: int = 2):
         self.spark, self.min_docs, self.min_chars, self.fanout = spark, min_docs, min_chars, fanout
-        self.buckets = shuffle_partitions(spark)
         self.levels: list[list[str]] = [[]]
         self.common: list[str] = []
-        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
-        name, path = f"line_run_{uuid.uuid4().hex}", fresh_path(self.spark, "line-run")
-        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name, format="parquet")
-        self.paths[name] = path
-        return name
+        path = fresh_path(self.spark, "line-run")
+        rows.sortWithinPartitions(*KEY).write.parquet(path)
+        return path
 
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        remove_path(self.spark, self.paths.pop(name))
+    def _read(self, run: str, counts: bool = True) -> DataFrame:
+        return self.spark.read.schema(f"{KEY[0]} long, {KEY[1]} long" + ", n long" * counts).parquet(run)
+
+    def _drop(self, run: str) -> None:
+        remove_path(self.spark, run)
 
     def _summed(self, runs: Iterable[str]) -> DataFrame:
-        rows = [self.spark.table(r) for r in runs]
+        rows = [self._read(r) for r in runs]
         if not rows:
             return self.spark.createDataFrame([], f"{KEY[0]} long, {KEY[1]} long, n long")
         both = rows[0]
@@ -88,7 +87,7 @@ class LineRuns:
         fresh = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
         for run in self.common:
             # as an outer join: Spark moves an anti-join below the counts, where one frequent line is many rows
-            known = self.spark.table(run).withColumn("__line_known", F.lit(True)).hint("merge")
+            known = self._read(run, False).withColumn("__line_known", F.lit(True)).hint("merge")
             fresh = fresh.join(known, list(KEY), "left").where("__line_known IS NULL").drop("__line_known")
         self.levels[0].append(self._write(fresh))
         self._compact()
@@ -97,13 +96,12 @@ class LineRuns:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = self._write(self._summed(old))
-            rows = self.spark.table(merged)
+            rows = self._summed(old)
             self.common.append(self._write(rows.where(F.col("n") >= self.min_docs).select(*KEY)))
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(self._write(rows.where(F.col("n") < self.min_docs)))
-            for run in (*old, merged):
+            for run in old:
                 self._drop(run)
             level += 1
 
@@ -111,7 +109,7 @@ class LineRuns:
         """Keys found in at least min_docs of the documents added so far."""
         out = self._summed(r for runs in self.levels for r in runs).where(F.col("n") >= self.min_docs).select(*KEY)
         for run in self.common:
-            out = out.unionByName(self.spark.table(run))
+            out = out.unionByName(self._read(run, False))
         return out.distinct()  # a key that became common in one level may have grown anew in another
 
     def close(self) -> None:

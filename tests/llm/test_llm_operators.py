@@ -532,6 +532,21 @@ def test_line_dedup_where_the_common_keys_are_many(spark, monkeypatch):
     assert sorted(got, key=repr) == brute_lines(texts)
 
 
+def test_runs_of_lines_are_few_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        runs = line_dedup.LineRuns(spark, min_docs=3)
+        for k in range(4):
+            runs.add(spark.createDataFrame([(f"common\nline {k} {i}\nother {i}",) for i in range(200)], "text string"))
+        written = [*(r for level in runs.levels for r in level), *runs.common]
+        assert all(len(spark.read.parquet(r).inputFiles()) <= 16 for r in written)
+        assert runs.common_keys().count() == 201
+        runs.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # ---- op7 ----
 
 
