@@ -250,7 +250,10 @@ def labelled(mask: DataFrame) -> DataFrame:
     connected, numbered from 1 by their first pixel in scan order.
 
     Smallest positions spread along rows at once (a running minimum over each
-    run), then by steps and jumps to the position that a label names."""
+    run), then by steps and jumps to the position that a label names.
+
+    Joins with a row for each pixel or component are merged: Spark takes the packed
+    size of a written table for that of what is made from it, and would send it whole."""
     px = mask.where("m").select(*PIXEL, "nx", "ny", (F.col("y") * F.col("nx") + F.col("x")).cast("long").alias("pos"))
     run = F.col("x") - F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x"))
     px = px.withColumn("run", run)
@@ -259,10 +262,10 @@ def labelled(mask: DataFrame) -> DataFrame:
     before = None
     while True:
         near = sent(now.select(*PIXEL, "nx", "ny", "label"), around, "zero").groupBy(*PIXEL).agg(F.min("label").alias("near"))
-        step = now.join(near, list(PIXEL)).withColumn("label", F.min("near").over(Window.partitionBy("image_id", "y", "run"))).drop("near")
+        step = now.join(near.hint("merge"), list(PIXEL)).withColumn("label", F.min("near").over(Window.partitionBy("image_id", "y", "run"))).drop("near")
         # where labels lead: one row for each label in use, few enough to be sent to all tasks once components have formed
         used = step.select("image_id", "label").distinct()
-        to = used.join(step.select("image_id", F.col("pos").alias("label"), F.col("label").alias("next")), ["image_id", "label"])
+        to = used.join(step.select("image_id", F.col("pos").alias("label"), F.col("label").alias("next")).hint("merge"), ["image_id", "label"])
         step = step.join(to, ["image_id", "label"]).withColumn("label", F.least("label", "next")).drop("next")
         now = checkpointed(step.select("image_id", "x", "y", "nx", "ny", "pos", "run", "label"), now)
         state = now.agg(F.sum("label")).first()[0]
@@ -271,7 +274,7 @@ def labelled(mask: DataFrame) -> DataFrame:
         before = state
     roots = now.select("image_id", "label").distinct()
     names = roots.withColumn("n", F.dense_rank().over(Window.partitionBy("image_id").orderBy("label")))
-    return now.join(names, ["image_id", "label"]).select(*PIXEL, F.col("n").alias("label"))
+    return now.join(names.hint("merge"), ["image_id", "label"]).select(*PIXEL, F.col("n").alias("label"))
 
 
 def component_statistics(labels: DataFrame) -> DataFrame:

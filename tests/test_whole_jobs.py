@@ -1,12 +1,13 @@
 """Matrix and projection queries against brute force over the whole tables."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
 import pytest
 
-from tessera.operators import learning
+from tessera.operators import grid, learning
 from tessera.plans import catalogue
 from tessera.plans.bindings import SIDE, features, image_count, raster
 
@@ -139,3 +140,20 @@ def test_paths_of_large_keys_and_nulls(spark, tmp_path):
     columns = "pos, path, is_png, base, dir"
     want = con.execute(f"SELECT {columns} FROM ({catalogue.ORACLE_SQL['string_helpers']}) ORDER BY pos").fetchall()
     assert [tuple(r) for r in catalogue.QUERIES["string_helpers"](spark, at).select(*columns.split(", ")).orderBy("pos").collect()] == want
+
+
+def test_component_neighbours_sends_no_table_of_pixels_whole(spark, monkeypatch):
+    """Written tables are small as files; what is made from them, with a row or more for each pixel or component, must not be broadcast."""
+    plans, write = [], grid.checkpointed
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df, previous=None):
+        plans.append(plan(df))
+        return write(df, previous)
+
+    monkeypatch.setattr(grid, "checkpointed", watched)
+    found = catalogue.QUERIES["component_neighbours"](spark, DATA)
+    rows = {tuple(r) for r in found.collect()}
+    assert rows and rows == {(image, near, label, d2) for image, label, near, d2 in rows}
+    assert len(plans) > 1 and "BroadcastHashJoin" not in plan(found)
+    assert not [p for p in plans[1:] if re.search(r"Broadcast\w*Join \[image_id#\d+, x#\d+, y#\d+\]", p)]  # the first reads the raster
